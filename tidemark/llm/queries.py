@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.quality_divergence import op10_quality_divergence
 from tidemark.llm.substring_words import op2_substring_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
 }
 
