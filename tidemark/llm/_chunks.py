@@ -34,9 +34,14 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Half the shuffle partitions: each chunk sends a blob to each bucket, so their number is kept low."""
+    return max(1, partitions(df) // 2)
+
+
 def chunked(df: DataFrame, id_col: str, text_col: str, chunks: int | None = None, extra: Iterable[str] = ()) -> DataFrame:
     """(chunk, id, text, extra...): rows dealt to chunks by a hash of id and text; other columns are left behind."""
-    n = chunks or 4 * partitions(df)
+    n = chunks or 2 * partitions(df)
     cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(c) for c in extra)]
     return df.select(*cols).select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("chunk"), "*")
 

@@ -96,7 +96,7 @@ def remove_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str
         raise ValueError("period must be between 1 and window")
     cover = difference_cover(period)
     docs = X.chunked(df, id_col, text_col, chunks)
-    buckets = X.partitions(df)
+    buckets = X.bucket_count(df)
     id_type = docs.schema["id"].dataType.simpleString()
 
     def anchors(chunk: int, table: pa.Table) -> pa.Table:
