@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.quality_divergence import op10_quality_divergence
 from tidemark.llm.substring_words import op2_substring_words
+from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
+    "op4_toxicity_lexicon": op4_toxicity_lexicon,
 }
 
 ORACLE: dict[str, str] = {}
