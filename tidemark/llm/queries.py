@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.mixture_packing import op6_mixture_packing
 from tidemark.llm.quality_divergence import op10_quality_divergence
 from tidemark.llm.substring_words import op2_substring_words
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
@@ -13,6 +14,7 @@ from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
+    "op6_mixture_packing": op6_mixture_packing,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
 }
 
