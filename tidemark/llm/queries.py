@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.html_blocks import op3_html_blocks
 from tidemark.llm.mixture_packing import op6_mixture_packing
 from tidemark.llm.quality_divergence import op10_quality_divergence
 from tidemark.llm.substring_words import op2_substring_words
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
     "op6_mixture_packing": op6_mixture_packing,
+    "op3_html_blocks": op3_html_blocks,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
 }
 
