@@ -213,6 +213,11 @@ LABELLED = (
     f'<body><p>+{_W}</p><p>+{_W}</p><p>+{_W}</p><p><a href=x>-Back</a></p></body>',
     f'<p><a href=x>-Top</a> <a href=x>-Index</a></p><div>+{_W * 2}</div><div>+{_W * 3}</div><div>+Not many words in this one, but among long ones.</div><div>+{_W * 5}</div><div>-Contact us</div>',
     f'<p>+{_W * 2}</p><p>+{_W * 4}</p><p>+{_W}</p><p>+{_W * 2}</p>',
+    f'<nav><a href=x>-Home</a></nav><article><h1>+Cut off</h1><p>+{_W}<p><a href=x>+A link alone</a><p>+Few words at the end',
+    f'<article><h1>+Lone</h1><p><a href=x>+Only a link</a></p><p>+End</p></article>',
+    f'<main><p>+{_W}</p><p><a href=x>+See this page</a></p><p>+Last.</p></main>',
+    '<article><h1>+Tiny</h1></article>',
+    '<article><p><a href=x>+Linked start</a></p><p>+Some words after it</p><p><a href=x>+Linked end</a></p></article>',
     f'<div class="newsletter"><h3>-Subscribe to our letter</h3><p>-{_W}</p></div><div class="post"><h1>+A post</h1><p>+Hello there.</p><p>+{_W}</p></div><div class="share"><a href=x>-Share</a></div><ul><li><a href=x>-One other story with a long title</a></li><li><a href=x>-Another story</a></li></ul>',
     f'<aside class="notice">-Notice: the site will be down on Sunday</aside><article><h1>+Words</h1><ul><li>+item</li><li><a href=x>+linked item</a></li></ul><p>+{_W * 3}</p><h2>+Part two</h2><p>+{_W}</p><aside>-A word from our sponsor and so on</aside><p>+End.</p></article><div class="popup">-Wait! Do not go. {_W}</div>',
 )
