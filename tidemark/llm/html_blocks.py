@@ -200,39 +200,45 @@ def features_of(page: str) -> tuple[list[Block], list[tuple[float, ...]]]:
 
 
 # The labelled table: blocks of made-up pages; a text that starts with "+" is main text.
-_W = "word " * 40
+# Each page stands for one page per entry of LENGTHS; {W} is a run of so many words, turn by turn.
+LENGTHS = (4, 9, 17, 40, 95, 210, 420)
 LABELLED = (
-    f'<nav><ul><li><a href=x>-Home</a><li><a href=x>-News</a><li><a href=x>-About us</a></ul></nav><div class="ad">-Buy now and save a lot today</div><article><h1>+A title of some words</h1><p>+{_W}<p>+{_W}<p>+Short.<p>+{_W}</article><footer>-&copy; 2020 Example, all rights reserved</footer>',
-    f'<nav><a href=x>-Start</a></nav><div class="ad">-Eight words that tell you what to buy.</div><article><h1>+One</h1><p>+One two three.<p>+Four</article><footer>-&copy; site and a few words about the owner of it, and more. And more words.</footer>',
-    f"<article><p>+A B C D E | F G H | I J<p>+{_W}<p><a href=x>+Linked words</a> in text<p>+{_W * 4}</article><aside><p>-{_W}</p><a href=x>-More like this</a></aside>",
-    f'<header><a href=x>-Logo</a><p>-The site with a slogan of words</p></header><main><h1>+Heading</h1><p>+{_W}</p><ul><li>+first thing</li><li>+second thing that is longer</li></ul><p>+{_W}</p></main><div id="comments"><h2>-Comments</h2><div class="comment"><p>-{_W}</p></div><p>-I agree.</p></div>',
-    f'<div id="header">-Site name</div><div id="menu"><ul><li><a href=x>-One</a></li><li><a href=x>-Two</a></li></ul></div><div id="content"><h2>+News of the day</h2><p>+{_W}</p><p>+{_W}</p><p>+Fine.</p></div><div id="sidebar"><p>-{_W}</p><a href=x>-Archive</a></div><div id="footer">-Imprint and contact</div>',
-    f"<div><a href=x>-Home</a> <a href=x>-Forum</a></div><div><h1>+Plain page</h1>+{_W}</div><div>+{_W}</div><div>+{_W}</div><div><a href=x>-Next page</a></div><div>-All rights reserved</div>",
-    f'<div class="cookie-notice"><p>-We use cookies to make this site better for all. {_W}</p></div><article><header><h1>+Title in a header</h1></header><p>+{_W}</p><form><p>-Your mail address</p></form><p>+{_W}</p><div class="related"><a href=x>-Other story</a><p>-{_W}</p></div></article><section class="comments"><p>-{_W}</p><p>-Nice</p></section>',
-    f'<main><article><h1>+Short piece</h1><p>+Ten words are in this paragraph, so it is short.</p><blockquote>+A saying of someone</blockquote><pre>+x = 1</pre><table><tr><td>+cell one</td><td>cell two</td></tr></table></article></main><form>-Search the site {_W}</form><footer><p>-{_W}</p></footer>',
-    f'<body><p>+{_W}</p><p>+{_W}</p><p>+{_W}</p><p><a href=x>-Back</a></p></body>',
-    f'<p><a href=x>-Top</a> <a href=x>-Index</a></p><div>+{_W * 2}</div><div>+{_W * 3}</div><div>+Not many words in this one, but among long ones.</div><div>+{_W * 5}</div><div>-Contact us</div>',
-    f'<p>+{_W * 2}</p><p>+{_W * 4}</p><p>+{_W}</p><p>+{_W * 2}</p>',
-    f'<nav><a href=x>-Home</a></nav><article><h1>+Cut off</h1><p>+{_W}<p><a href=x>+A link alone</a><p>+Few words at the end',
-    f'<article><h1>+Lone</h1><p><a href=x>+Only a link</a></p><p>+End</p></article>',
-    f'<main><p>+{_W}</p><p><a href=x>+See this page</a></p><p>+Last.</p></main>',
+    '<nav><ul><li><a href=x>-Home</a><li><a href=x>-News</a><li><a href=x>-About us</a></ul></nav><div class="ad">-Buy now and save a lot today</div><article><h1>+A title of some words</h1><p>+{W}<p>+{W}<p>+Short.<p>+{W}</article><footer>-&copy; 2020 Example, all rights reserved</footer>',
+    '<nav><a href=x>-Start</a></nav><div class="ad">-Eight words that tell you what to buy.</div><article><h1>+One</h1><p>+One two three.<p>+Four</article><footer>-&copy; site and a few words about the owner of it, and more. And more words.</footer>',
+    "<article><p>+A B C D E | F G H | I J<p>+{W}<p><a href=x>+Linked words</a> in text<p>+{W}</article><aside><p>-{W}</p><a href=x>-More like this</a></aside>",
+    '<header><a href=x>-Logo</a><p>-The site with a slogan of words</p></header><main><h1>+Heading</h1><p>+{W}</p><ul><li>+first thing</li><li>+second thing that is longer</li></ul><p>+{W}</p></main><div id="comments"><h2>-Comments</h2><div class="comment"><p>-{W}</p></div><p>-I agree.</p></div>',
+    '<div id="header">-Site name</div><div id="menu"><ul><li><a href=x>-One</a></li><li><a href=x>-Two</a></li></ul></div><div id="content"><h2>+News of the day</h2><p>+{W}</p><p>+{W}</p><p>+Fine.</p></div><div id="sidebar"><p>-{W}</p><a href=x>-Archive</a></div><div id="footer">-Imprint and contact</div>',
+    "<div><a href=x>-Home</a> <a href=x>-Forum</a></div><div><h1>+Plain page</h1>+{W}</div><div>+{W}</div><div>+{W}</div><div><a href=x>-Next page</a></div><div>-All rights reserved</div>",
+    '<div class="cookie-notice"><p>-We use cookies to make this site better for all. {W}</p></div><article><header><h1>+Title in a header</h1></header><p>+{W}</p><form><p>-Your mail address</p></form><p>+{W}</p><div class="related"><a href=x>-Other story</a><p>-{W}</p></div></article><section class="comments"><p>-{W}</p><p>-Nice</p></section>',
+    '<main><article><h1>+Short piece</h1><p>+Ten words are in this paragraph, so it is short.</p><blockquote>+A saying of someone</blockquote><pre>+x = 1</pre><table><tr><td>+cell one</td><td>cell two</td></tr></table></article></main><form>-Search the site {W}</form><footer><p>-{W}</p></footer>',
+    '<body><p>+{W}</p><p>+{W}</p><p>+{W}</p><p><a href=x>-Back</a></p></body>',
+    '<p><a href=x>-Top</a> <a href=x>-Index</a></p><div>+{W}</div><div>+{W}</div><div>+Not many words in this one, but among long ones.</div><div>+{W}</div><div>-Contact us</div>',
+    '<p>+{W}</p><p>+{W}</p><p>+{W}</p><p>+{W}</p>',
+    '<nav><a href=x>-Home</a></nav><article><h1>+Cut off</h1><p>+{W}<p><a href=x>+A link alone</a><p>+Few words at the end',
+    '<article><h1>+Lone</h1><p><a href=x>+Only a link</a></p><p>+End</p></article>',
+    '<main><p>+{W}</p><p><a href=x>+See this page</a></p><p>+Last.</p></main>',
     '<article><h1>+Tiny</h1></article>',
     '<article><p><a href=x>+Linked start</a></p><p>+Some words after it</p><p><a href=x>+Linked end</a></p></article>',
-    f'<div class="newsletter"><h3>-Subscribe to our letter</h3><p>-{_W}</p></div><div class="post"><h1>+A post</h1><p>+Hello there.</p><p>+{_W}</p></div><div class="share"><a href=x>-Share</a></div><ul><li><a href=x>-One other story with a long title</a></li><li><a href=x>-Another story</a></li></ul>',
-    f'<aside class="notice">-Notice: the site will be down on Sunday</aside><article><h1>+Words</h1><ul><li>+item</li><li><a href=x>+linked item</a></li></ul><p>+{_W * 3}</p><h2>+Part two</h2><p>+{_W}</p><aside>-A word from our sponsor and so on</aside><p>+End.</p></article><div class="popup">-Wait! Do not go. {_W}</div>',
+    '<div class="newsletter"><h3>-Subscribe to our letter</h3><p>-{W}</p></div><div class="post"><h1>+A post</h1><p>+Hello there.</p><p>+{W}</p></div><div class="share"><a href=x>-Share</a></div><ul><li><a href=x>-One other story with a long title</a></li><li><a href=x>-Another story</a></li></ul>',
+    '<aside class="notice">-Notice: the site will be down on Sunday</aside><article><h1>+Words</h1><ul><li>+item</li><li><a href=x>+linked item</a></li></ul><p>+{W}</p><h2>+Part two</h2><p>+{W}</p><aside>-A word from our sponsor and so on</aside><p>+End.</p></article><div class="popup">-Wait! Do not go. {W}</div>',
 )
 
 
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
     for page in LABELLED:
-        blocks, features = features_of(page)
-        x += features
-        y += [b.text.lstrip(" ").startswith("+") for b in blocks]
+        runs = page.split("{W}")
+        for shift in range(len(LENGTHS)) if len(runs) > 1 else (0,):
+            made = [runs[0]]
+            for k, rest in enumerate(runs[1:]):
+                made += ["word " * LENGTHS[(shift + 3 * k) % len(LENGTHS)], rest]
+            blocks, features = features_of("".join(made))
+            x += features
+            y += [b.text.startswith("+") for b in blocks]
     return np.array(x), np.array(y)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 7, least: int = 1):
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 3):
     """A CART: (feature, limit, tree where <= limit, tree where above), or a class at a leaf. Ties go to the first feature and the lowest limit."""
     share = y.mean()
     if depth == 0 or share in (0.0, 1.0):
