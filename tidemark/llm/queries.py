@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.html_blocks import op3_html_blocks
+from tidemark.llm.line_frequency import OP5_SQL, op5_line_frequency
 from tidemark.llm.mixture_packing import op6_mixture_packing
 from tidemark.llm.quality_divergence import op10_quality_divergence
+from tidemark.llm.spaced_seeds import op8_spaced_seeds
 from tidemark.llm.substring_words import op2_substring_words
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
+    "op5_line_frequency": op5_line_frequency,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op6_mixture_packing": op6_mixture_packing,
     "op3_html_blocks": op3_html_blocks,
     "op4_toxicity_lexicon": op4_toxicity_lexicon,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_line_frequency": OP5_SQL,
+}
