@@ -10,11 +10,13 @@ from tidemark.llm.html_blocks import op3_html_blocks
 from tidemark.llm.line_frequency import OP5_SQL, op5_line_frequency
 from tidemark.llm.mixture_packing import op6_mixture_packing
 from tidemark.llm.quality_divergence import op10_quality_divergence
+from tidemark.llm.setsketch import op9_setsketch
 from tidemark.llm.spaced_seeds import op8_spaced_seeds
 from tidemark.llm.substring_words import op2_substring_words
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_setsketch": op9_setsketch,
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
     "op5_line_frequency": op5_line_frequency,
