@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.brown_lm import op1_brown_lm
 from tidemark.llm.html_blocks import op3_html_blocks
 from tidemark.llm.line_frequency import OP5_SQL, op5_line_frequency
 from tidemark.llm.mixture_packing import op6_mixture_packing
@@ -16,6 +17,7 @@ from tidemark.llm.substring_words import op2_substring_words
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": op1_brown_lm,
     "op9_setsketch": op9_setsketch,
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
