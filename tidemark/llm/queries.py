@@ -14,6 +14,7 @@ from tidemark.llm.quality_divergence import op10_quality_divergence
 from tidemark.llm.setsketch import op9_setsketch
 from tidemark.llm.spaced_seeds import op8_spaced_seeds
 from tidemark.llm.substring_words import op2_substring_words
+from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_divergence": op10_quality_divergence,
     "op2_substring_words": op2_substring_words,
     "op5_line_frequency": op5_line_frequency,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op6_mixture_packing": op6_mixture_packing,
     "op3_html_blocks": op3_html_blocks,
