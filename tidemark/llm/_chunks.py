@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import small_batches
+
 U64 = np.uint64
 #: Odd, so it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -41,6 +43,7 @@ def bucket_count(df: DataFrame) -> int:
 
 def chunked(df: DataFrame, id_col: str, text_col: str, chunks: int | None = None, extra: Iterable[str] = ()) -> DataFrame:
     """(chunk, id, text, extra...): rows dealt to chunks by a hash of id and text; other columns are left behind."""
+    small_batches(df.sparkSession)
     n = chunks or 2 * partitions(df)
     cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(c) for c in extra)]
     return df.select(*cols).select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("chunk"), "*")

@@ -7,19 +7,19 @@ are the larger ones of its parts, and equal registers are as likely as the sets
 are similar.
 
 1. Texts that are equal word for word are one class.
-2. Bands of six registers put classes into buckets.  Each bucket names a pivot,
+2. Bands of registers put classes into buckets.  Each bucket names a pivot,
    and each member is paired with it: as many pairs as members.
 3. A pair's similarity is estimated by maximum likelihood from the counts of
    larger, smaller and equal registers and both set sizes; pairs five standard
    errors below the limit go.  The others are verified on their full sets.
 4. Links give components.  Members of a bucket that are still in different
-   components are compared register by register in blocks; the likely pairs are
-   verified too.  Pairs inside a component need no check, so a group of a
-   million copies costs a million checks and not their square.
+   components are held against each other in memory, in blocks; the likely pairs
+   are verified there, and only links leave the task.  Pairs inside a component
+   need no check.
 5. Components of all links; a document's component is the least id in it.
 
-A pair at the limit is missed if all 24 bands differ: about 1 in 100,000, and
-far less above it.
+A pair at the limit is missed if all bands differ: 1 in 100,000, and far less
+above it.
 
 Cases: null and empty texts have an empty set and stay by themselves; texts
 with fewer words than a shingle are one shingle; repeated rows and equal texts
@@ -30,6 +30,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -37,14 +38,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._chunks import Rolling, mix
 from tidemark.llm._components import connected_components
-from tidemark.llm._store import stored
+from tidemark.llm._store import small_batches, stored
 
-REGISTERS, BAND, BANDS = 256, 6, 24
+REGISTERS = 256
 B, A, Q = 1.001, 20.0, 2**16 - 2
 SHINGLE, PERCENT = 5, 85
 #: Members of a bucket that one task compares with each other or with another such block.
@@ -81,8 +82,17 @@ def merge_registers(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.maximum(one, other)
 
 
-def bands(regs: np.ndarray) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(regs[k * BAND : (k + 1) * BAND].tobytes(), seed=k) - (1 << 63) for k in range(BANDS)]
+def banding(percent: int, miss: float = 1e-5) -> tuple[int, int]:
+    """Registers in a band, and bands enough to miss a pair at the limit with probability `miss`; the longest bands that 256 registers allow, up to six."""
+    for rows in range(6, 0, -1):
+        n = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+        if n * rows <= REGISTERS:
+            return rows, n
+    return 1, REGISTERS
+
+
+def bands(regs: np.ndarray, rows: int, n: int) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(regs[k * rows : (k + 1) * rows].tobytes(), seed=k) - (1 << 63) for k in range(n)]
 
 
 def estimate(one: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -154,16 +164,17 @@ def classes_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.groupBy("v").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row: documents link where 100 * intersection >= percent * union."""
-    docs = _docs(df, id_col, text_col)
+def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(v, rep, n, first, component): each class of `docs` (id, text) with its least id, set size, and the least id of its component; first: is it the class of its component that has that id?"""
+    small_batches(docs.sparkSession)
     classes = stored(classes_of(docs, shingle), "classes")
     limit = likely_limit(percent)
+    rows, n_bands = banding(percent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [bands(r) for r in _matrix(batch.column("regs"))] if batch.num_rows else []
-            v = batch.column("v").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            got = [bands(r, rows, n_bands) for r in _matrix(batch.column("regs"))] if batch.num_rows else []
+            v = batch.column("v").take(pa.array(np.repeat(np.arange(batch.num_rows), n_bands)))
             yield pa.RecordBatch.from_arrays([pa.array([x for g in got for x in g], pa.int64()), v], ["bucket", "v"])
 
     members = classes.select("v", "regs").mapInArrow(deal, "bucket long, v binary")
@@ -180,24 +191,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # buckets whose members are in different components
     open_ = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     split = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    rest = open_.join(split, "bucket").join(known, "v")
-    more = _likely_rest(rest, limit, percent).distinct()
-    further = stored(_verified(more, texts, percent, shingle), "links2")
+    rest = open_.join(split, "bucket").join(known.join(texts, "v"), "v")
+    further = stored(_rest_links(rest, limit, percent, shingle, rows, n_bands).distinct(), "links2")
     every = connected_components(links.unionByName(further)) if not further.isEmpty() else labels
 
-    named = every.join(classes.select("v", "rep"), "v").groupBy("label").agg(F.min("rep").alias("component"))
-    found = every.join(named, "label").select("v", "component")
-    about = classes.select("v", "rep", "n").join(found, "v", "left").select("v", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
-    kind = docs.schema["id"].dataType.simpleString()
+    named = every.join(classes.select("v", "rep"), "v").groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "v")).alias("least"))
+    found = every.join(named, "label").select("v", "least")
+    about = classes.select("v", "rep", "n").join(found, "v", "left")
+    return about.select("v", "rep", "n", F.coalesce(F.col("least.v") == F.col("v"), F.lit(True)).alias("first"), F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least.rep")).alias("component"))
+
+
+def _with_class(docs: DataFrame) -> DataFrame:
+    """docs and v, their class; null without words."""
+    names = [f.name for f in docs.schema.fields]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = (_words(t) for t in batch.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([_class(w) if w else None for w in words], pa.binary())], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([_class(w) if w else None for w in words], pa.binary())], [*names, "v"])
+
+    return docs.mapInArrow(name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields) + ", v binary")
 
-    out = docs.mapInArrow(name, f"id {kind}, v binary").join(about, "v", "left")
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for each row: documents link where 100 * intersection >= percent * union."""
+    docs = _docs(df, id_col, text_col)
+    about = near_duplicate_classes(docs, percent, shingle)
+    out = _with_class(docs).select("id", "v").join(about, "v", "left")
     component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep...): one row of each component, that with its least id, and all rows without words.
+
+    Of rows with the same id and words one stays.  Rows are joined by id and
+    class, so that a class with a third of all rows is spread over all tasks.
+    """
+    about = near_duplicate_classes(_docs(df, id_col, text_col), percent, shingle)
+    winners = about.filter("first").select(F.col("rep").alias("w_id"), F.col("v").alias("w"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)))
+    rows = _with_class(rows).withColumn("j", F.coalesce("v", F.unhex(F.md5(F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))))))
+    kept = rows.join(winners, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("j") == F.col("w")), "left").filter("w IS NOT NULL OR v IS NULL")
+    again = Window.partitionBy("id", "j").orderBy(*(F.col(f"k{k}") for k in range(len(keep))), F.lit(0))
+    kept = kept.withColumn("r", F.row_number().over(again)).filter("r = 1 OR v IS NULL")
+    return kept.select(F.col("id").alias(id_col), *(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)))
 
 
 def _payloads(docs: DataFrame) -> DataFrame:
@@ -264,35 +302,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return pairs.join(one, "a").join(other, "b").select("a", "b", "pa", "pb").mapInArrow(check, "a binary, b binary")
 
 
-def _likely_rest(rest: DataFrame, limit: float, percent: int) -> DataFrame:
-    """Likely pairs across components within buckets, from blocks of members held against each other.
+def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows: int, n_bands: int) -> DataFrame:
+    """Links across components within buckets, from blocks of members held against each other in memory.
 
     Pairs with the bucket's pivot were judged before; a pair that shares an
-    earlier band is judged there.
+    earlier band is judged there; members that a link has just put together
+    need none.  So a block sends at most as many links as it has members.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meets)).select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "v", "label", "pivot", "n", "regs")
+    dealt = dealt.withColumn("meet", F.explode(meets)).select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "v", "label", "pivot", "n", "regs", "payload")
 
     def compare(table: pa.Table) -> pa.Table:
         bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-        v, label, pivot = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("v", "label", "pivot"))
+        v, pivot, payload = (table.column(c).to_pylist() for c in ("v", "pivot", "payload"))
+        numbers: dict[bytes, int] = {}
+        label = np.array([numbers.setdefault(x, len(numbers)) for x in table.column("label").to_pylist()])
+        parent = list(range(len(numbers)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        sets: dict[int, np.ndarray] = {}
+        unpress = zstandard.ZstdDecompressor()
+
+        def items(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingles(unpress.decompress(payload[k]).split(), shingle)
+            return sets[k]
+
         mine, n = table.column("mine").to_numpy(), table.column("n").to_numpy().astype(float)
         regs = _matrix(table.column("regs").combine_chunks())
-        band = next(k for k in range(BANDS) if bands(regs[0])[k] == bucket)
-        head = regs[:, : band * BAND].reshape(len(regs), band, BAND)
+        band = bands(regs[0], rows, n_bands).index(bucket)
+        head = regs[:, : band * rows].reshape(len(regs), band, rows)
+        is_pivot = np.array([x == pivot[0] for x in v])
         out = []
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        left, right = np.flatnonzero((mine == i) & ~is_pivot), np.flatnonzero((mine == j) & ~is_pivot)
         for x in left.tolist():
             y = right[right > x] if i == j else right
-            y = y[(label[y] != label[x]) & (v[y] != pivot[0])] if v[x] != pivot[0] else y[:0]
+            y = y[label[y] != label[x]]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            y = y[(regs[y] == regs[x]).sum(axis=1) >= (limit - 0.02) * REGISTERS]  # a cheap bound before the estimate
             if band and len(y):
                 y = y[~(head[y] == head[x]).all(axis=2).any(axis=1)]
-            if len(y):
-                e = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
-                out += [(min(v[x], v[k]), max(v[x], v[k])) for k in y[e >= limit].tolist()]
+            if not len(y):
+                continue
+            e = estimate(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y])
+            for k in y[np.argsort(-e, kind="stable")][: int((e >= limit).sum())].tolist():
+                a, b = find(int(label[x])), find(int(label[k]))
+                if a != b:
+                    common = len(np.intersect1d(items(x), items(k), assume_unique=True))
+                    if 100 * common >= percent * (len(items(x)) + len(items(k)) - common):
+                        parent[a] = b
+                        out.append((min(v[x], v[k]), max(v[x], v[k])))
         return _pairs_table(out)
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
