@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import _chunks as X
 
-WINDOW, GRAM, HOT = 200, 50, 50_000
+WINDOW, GRAM, HOT = 200, 50, 2_000
 _BYTES = np.random.default_rng(77).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTES2 = np.random.default_rng(78).integers(0, 1 << 64, 256, dtype=np.uint64)
 _BATCH = 1 << 20
@@ -66,22 +66,27 @@ class Batch:
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.bytes = np.frombuffer(b"".join(texts), dtype=np.uint8)
         self.ends = np.cumsum(self.lengths)
-        self.left = np.repeat(self.ends, self.lengths) - np.arange(len(self.bytes))
+
+    @property
+    def left(self) -> np.ndarray:
+        """Bytes from each position to its document's end; made when asked for, as it takes four bytes a byte."""
+        return (np.repeat(self.ends, self.lengths) - np.arange(len(self.bytes))).astype(np.int32)
 
     def samples(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions and the hashes of their grams."""
+        """Sampled positions and the hashes of their grams, mixed again: as least values they would all be in the lowest bucket."""
         n = len(self.bytes)
-        if n < window or not (self.left >= window).any():
+        if n < window or not (self.lengths >= window).any():
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        left = self.left
         h = X.mix(X.Rolling(_BYTES[self.bytes]).windows(np.arange(n - gram + 1), gram))
-        h[self.left[: len(h)] < gram] = _TOP
+        h[left[: len(h)] < gram] = _TOP
         run = window - gram + 1
         least = _slide(np.minimum, h, run)
-        least[self.left[: len(least)] < window] = 0
+        least[left[: len(least)] < window] = 0
         pad = np.zeros(run - 1, dtype=np.uint64)
         most = _slide(np.maximum, np.concatenate([pad, least, pad]), run)[: len(h)]
         at = np.flatnonzero((most == h) & (h != _TOP))
-        return at, h[at]
+        return at, X.mix(h[at])
 
 
 def _batches(texts: list[bytes]) -> Iterator[Batch]:
@@ -222,7 +227,21 @@ def reaches(gram: np.ndarray, left: np.ndarray, many: np.ndarray, contexts: list
     take = order[np.repeat(use, size)]
     if not len(take):
         return out_left, out_right
-    size = size[use]
+    # groups are sorted some at a time, so that hashes of a few MB of surroundings are held at once
+    sizes, done, ends = size[use], 0, np.cumsum(length[take])
+    stop = np.cumsum(sizes)
+    while done < len(sizes):
+        base = ends[stop[done - 1] - 1] if done else 0
+        more = max(done + 1, int(np.searchsorted(ends[stop - 1], base + _BATCH, side="right")))
+        lo, hi = (stop[done - 1] if done else 0), stop[more - 1]
+        _sort_groups(take[lo:hi], sizes[done:more], contexts, left, length, window, out_left, out_right)
+        done = more
+    return out_left, out_right
+
+
+def _sort_groups(take: np.ndarray, size: np.ndarray, contexts: list[bytes], left: np.ndarray, length: np.ndarray, window: int, out_left: np.ndarray, out_right: np.ndarray) -> None:
+    """Sort the suffixes and prefixes of neighbouring groups and note how far their samples are repeated."""
+    right = length - left
     start = np.cumsum(size) - size
     data = np.frombuffer(b"".join(contexts[k] for k in take.tolist()), dtype=np.uint8)
     offset = np.cumsum(length[take]) - length[take]
@@ -260,7 +279,6 @@ def reaches(gram: np.ndarray, left: np.ndarray, many: np.ndarray, contexts: list
         for x, y, m, r in found:
             for k in (take[x], take[y]):
                 out_left[k], out_right[k] = max(out_left[k], m), max(out_right[k], r)
-    return out_left, out_right
 
 
 def _pack(gram: np.ndarray, left: np.ndarray, many: np.ndarray, contexts: list[bytes]) -> bytes:
@@ -300,9 +318,9 @@ class _Found:
         for k, (b, (pos, h)) in enumerate(zip(self.batches, sampled, strict=True)):
             mine = place[at : at + len(pos)]
             at += len(pos)
-            size = len(b.bytes)
+            size, left = len(b.bytes), b.left
             for p, g in zip(pos[repeated[mine] & ~hot[mine]].tolist(), h[repeated[mine] & ~hot[mine]].tolist(), strict=True):
-                end = p + int(b.left[p])
+                end = p + int(left[p])
                 d = int(np.searchsorted(b.ends, p, side="right"))
                 begin = int(b.ends[d] - b.lengths[d])
                 lo = max(begin, p - reach)
@@ -312,7 +330,7 @@ class _Found:
             for p in pos[hot[mine]].tolist():
                 mark[max(0, p - reach)] += 1
                 mark[p + 1] -= 1
-            s = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (b.left >= window)) if hot.any() else np.zeros(0, dtype=np.int64)
+            s = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (left >= window)) if hot.any() else np.zeros(0, dtype=np.int64)
             self.strings.append(s)
             if len(s):
                 starts.append(X.mix(X.Rolling(_BYTES[b.bytes]).windows(s, window)))
@@ -411,7 +429,8 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
     def remove(chunk: int, table: pa.Table, got: pa.Table) -> pa.Table:
         f = _Found(table, got, window, gram, buckets)
         answers, cuts = X.replies(got, 2), f.cuts(buckets)
-        edges = [np.zeros(len(b.bytes) + 1, dtype=np.int64) for b in f.batches]
+        begin: list[list[int]] = [[] for _ in f.batches]  # covered stretches, by batch
+        end_: list[list[int]] = [[] for _ in f.batches]
         for b, p in answers.items():
             if b < buckets:
                 lo, hi = cuts[b], cuts[b + 1]
@@ -419,19 +438,20 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
                 for places, x, y in zip(f.places[lo:hi], left, right, strict=True):
                     if y:
                         for k, at in places:
-                            edges[k][at - x] += 1
-                            edges[k][at + y] -= 1
+                            begin[k].append(at - x)
+                            end_[k].append(at + y)
         if len(f.string_keys):
             keys, _, _, place = _distinct(f.string_keys, f.string_checks)
             flags, at = X.flags_of(keys, buckets, {b - buckets: p for b, p in answers.items() if b >= buckets})[place], 0
             for k, s in enumerate(f.strings):
                 mine = s[flags[at : at + len(s)]]
                 at += len(s)
-                np.add.at(edges[k], mine, 1)
-                np.add.at(edges[k], mine + window, -1)
+                begin[k] += mine.tolist()
+                end_[k] += (mine + window).tolist()
         n_removed, n_spans, kept, sha, spans = [], [], [], [], []
-        for b, edge in zip(f.batches, edges, strict=True):
-            gone = np.cumsum(edge)[:-1] > 0
+        for k, b in enumerate(f.batches):
+            n_bytes = len(b.bytes) + 1
+            gone = np.cumsum(np.bincount(begin[k], minlength=n_bytes) - np.bincount(end_[k], minlength=n_bytes))[:-1] > 0
             for text, end, n in zip(b.texts, b.ends.tolist(), b.lengths.tolist(), strict=True):
                 g = gone[end - n : end]
                 left = text
