@@ -88,7 +88,7 @@ def cscv(spark: SparkSession, d: str) -> DataFrame:
     return _r(S.cscv(performance(spark, d), 8).select("split_id", "best_trial", "rank", "n_trials", "logit"), "logit")
 
 
-CSCV = PERFORMANCE + """, bl AS (SELECT trial_id, t // 50 AS b, ret FROM performance), sp AS (SELECT CAST(row_number() OVER (ORDER BY a, b, c, d) - 1 AS INTEGER) AS split_id, [a, b, c, d] AS l FROM (SELECT unnest(range(8)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(8)) AS c), (SELECT unnest(range(8)) AS d) WHERE a < b AND b < c AND c < d),
+CSCV = PERFORMANCE + """, bl AS (SELECT trial_id, t // 25 AS b, ret FROM performance), sp AS (SELECT CAST(row_number() OVER (ORDER BY a, b, c, d) - 1 AS INTEGER) AS split_id, [a, b, c, d] AS l FROM (SELECT unnest(range(8)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(8)) AS c), (SELECT unnest(range(8)) AS d) WHERE a < b AND b < c AND c < d),
 sc AS (SELECT split_id, trial_id, avg(ret) FILTER (WHERE list_contains(l, b)) / stddev_samp(ret) FILTER (WHERE list_contains(l, b)) AS i, avg(ret) FILTER (WHERE NOT list_contains(l, b)) / stddev_samp(ret) FILTER (WHERE NOT list_contains(l, b)) AS o FROM sp, bl GROUP BY 1, 2),
 w AS (SELECT split_id, arg_max(trial_id, i) AS best_trial, arg_max(o, i) AS bo FROM sc GROUP BY 1), rk AS (SELECT w.split_id, any_value(best_trial) AS best_trial, count(*) FILTER (WHERE o <= bo) AS rank, count(*) AS n_trials FROM w JOIN sc USING (split_id) GROUP BY 1),
 cs AS (SELECT *, ln((rank / (n_trials + 1.0)) / (1 - rank / (n_trials + 1.0))) AS logit FROM rk)"""

@@ -74,14 +74,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES = "messages AS (SELECT concat('m', user_id % 4) AS series_id, ts, event_id AS seq, event_type AS symbol FROM events)"
 
 
-def performance(spark: SparkSession, sf_dir: str, size: int = 400) -> DataFrame:
+def performance(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
     """t, trial_id, ret: the first `size` daily returns of each order priority."""
     w = Window.partitionBy("series_id").orderBy("ts")
     r = returns(spark, sf_dir).select((F.row_number().over(w) - 1).cast("long").alias("t"), F.substring("series_id", 1, 1).cast("int").alias("trial_id"), "ret")
     return r.filter(F.col("t") < size)
 
 
-PERFORMANCE = RETURNS + ", performance AS (SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS t, CAST(substr(series_id, 1, 1) AS INTEGER) AS trial_id, ret FROM returns) WHERE t < 400)"
+PERFORMANCE = RETURNS + ", performance AS (SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS t, CAST(substr(series_id, 1, 1) AS INTEGER) AS trial_id, ret FROM returns) WHERE t < 200)"
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
