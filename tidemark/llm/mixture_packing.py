@@ -33,6 +33,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import small_batches
+
 SEQUENCE, QUANTUM, END_ID = 1024, 256, 0
 SPECIAL = "<|endoftext|>"
 _LOADED: dict = {}
@@ -154,6 +156,7 @@ def pack_mixture(
     that some source cannot fill, the others go on when it has run out.
     """
     spark = df.sparkSession
+    small_batches(spark)
     n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = tokenized(df, id_col, text_col, source_col, tokenizer, n_parts, end_id)
 

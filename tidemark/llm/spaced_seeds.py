@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._chunks import mix, powers
+from tidemark.llm._store import small_batches
 
 #: Fixed masks: eight of twelve positions.
 MASKS = ("110110110101", "111010011011", "101101110011", "110011010111")
@@ -148,6 +149,7 @@ def decontaminate(
 ) -> DataFrame:
     """(id, keep..., contaminated, n_items, best_match, hits) for each row; hits: the best overlap with each item found."""
     spark = df.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     size = items.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_tokens))

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._store import small_batches
+
 # Letters of other scripts that look like Latin ones, and what digits and symbols stand for inside words.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "ѵ": "v",
@@ -168,6 +170,7 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     min_share: the share of toxic texts that must hold an entry (three texts at
     least); least: the least lower bound of an entry's log odds.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
     # equal texts count once: those with the least hash of (id, text) stay
     rows = rows.groupBy(F.xxhash64("text").alias("h"), "label").agg(F.min_by("text", F.xxhash64("id", "text")).alias("text"), F.min(F.xxhash64("id", "text")).alias("k"))
@@ -248,6 +251,7 @@ def _fit(rows: DataFrame, max_entries: int, min_share: float, least: float) -> T
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted, n_matches, matches): matches are the folded words that counted, in text order."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
