@@ -94,7 +94,7 @@ def exchange_classes(bigrams: np.ndarray, classes: int, sweeps: int = 20) -> np.
             rows, cols = f(table + right) - base, f(table + left[:, None]) - base
             d = np.diagonal(table)
             gain = rows.sum(axis=1) - np.diagonal(rows) + cols.sum(axis=0) - np.diagonal(cols) + f(d + right + left + own) - f(d)
-            first, second = table.sum(axis=1), table.sum(axis=0)
+            first, second = table.sum(axis=1) + left, table.sum(axis=0) + right  # neighbours count it in any class
             gain -= f(first + right.sum() + own) - f(first) + f(second + left.sum() + own) - f(second)
             new = int(np.argmax(gain))
             if gain[new] <= gain[old] + 1e-9:
