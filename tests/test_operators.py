@@ -133,6 +133,8 @@ def test_cpcv_counts(spark):
     got = cv.combinatorial_purged_cv(s, 5, 2, 0.05)
     assert got.count() == 20 * 10 and cv.n_paths(5, 2) == 4
     assert got.filter("role = 'test'").groupBy("pos").count().filter("count <> 4").count() == 0
+    with pytest.raises(ValueError, match="fewer"):
+        cv.combinatorial_purged_cv(s, 5, 2, 0.05, min_train_size=19)
     bad = got.alias("t").join(got.join(s, ["series_id", "pos"]).alias("r"), "split_id").filter("t.role = 'test' AND r.role = 'train' AND r.pos <= t.pos AND r.end_pos >= t.pos").count()
     assert bad == 0
 

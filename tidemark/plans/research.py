@@ -396,6 +396,17 @@ def molecules(spark: SparkSession, d: str) -> DataFrame:
 
 MOLECULES = f"WITH {DAYS} SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS pos, round(sqrt(price), 6) AS price FROM days"
 
+LZ = f"""WITH RECURSIVE {MESSAGES}, n AS (SELECT series_id, symbol, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) AS k, count(*) OVER (PARTITION BY series_id) AS total FROM messages),
+f AS (SELECT series_id, k, [symbol] AS done, CAST([] AS VARCHAR[]) AS phrase, [symbol] AS known FROM n WHERE k = 1
+UNION ALL SELECT g.series_id, g.k, CASE WHEN g.seen THEN NULL ELSE g.p END, CASE WHEN g.seen THEN g.p ELSE CAST([] AS VARCHAR[]) END, CASE WHEN g.seen THEN g.known ELSE list_append(g.known, array_to_string(g.p, '|')) END FROM (
+SELECT n.series_id, n.k, list_append(f.phrase, n.symbol) AS p, f.known, list_contains(f.known, array_to_string(list_append(f.phrase, n.symbol), '|')) AS seen FROM f JOIN n ON n.series_id = f.series_id AND n.k = f.k + 1) g),
+parsed AS (SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY k) - 1 AS BIGINT) AS phrase_no, done AS phrase FROM f WHERE done IS NOT NULL)"""
+LZ_ENTROPY = f"{LZ} SELECT series_id, round(count(*) * log2(count(*)) / (SELECT max(total) FROM n WHERE n.series_id = parsed.series_id), 6) AS entropy FROM parsed GROUP BY series_id"
+KONTO = f"""WITH {MESSAGES}, t AS (SELECT series_id, string_agg(CASE symbol WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' WHEN 'purchase' THEN 'p' WHEN 'error' THEN 'e' ELSE 'o' END, '' ORDER BY ts, seq) AS t FROM messages GROUP BY 1),
+c AS (SELECT series_id, t, unnest(range(1, length(t) // 2 + 1)) AS i FROM t), l AS (SELECT series_id, t, i, unnest(range(1, 41)) AS l FROM c), m AS (SELECT series_id, i, coalesce(max(l) FILTER (WHERE l <= i AND i + l <= length(t) AND contains(substr(t, 1, i + l - 1), substr(t, i + 1, l))), 0) + 1 AS x FROM l GROUP BY 1, 2),
+d AS (SELECT series_id, t, unnest(range(100, length(t) - 99)) AS i FROM t WHERE length(t) >= 200), dl AS (SELECT series_id, t, i, unnest(range(1, 41)) AS l FROM d), dm AS (SELECT series_id, i, coalesce(max(l) FILTER (WHERE i + l <= length(t) AND contains(substr(t, i - 99, 100 + l - 1), substr(t, i + 1, l))), 0) + 1 AS x FROM dl GROUP BY 1, 2),
+a AS (SELECT series_id, avg(log2(i + 1.0) / x) AS h FROM m GROUP BY 1), b AS (SELECT series_id, avg(log2(101.0) / x) AS h FROM dm GROUP BY 1) SELECT series_id, round(a.h, 6) AS entropy, round(b.h, 6) AS sliding FROM a JOIN b USING (series_id)"""
+
 QUERIES = {
     "sharpe_ratio": sharpe, "probabilistic_sharpe_ratio": psr, "bet_timing": bet_timing, "holding_period": holding_period, "return_concentration": concentration, "drawdown_time_under_water": drawdown, "cscv_logits": cscv, "pbo": pbo, "deflated_sharpe": deflated, "performance_matrix": performance_matrix,
     "binomial_risk": binomial, "probability_of_failure": failure, "fit_ou": fit_ou, "otr_grid": otr, "mixture_returns": mixture, "bet_sizing": sizing, "average_active_signals": active_signals, "correlation_distance": correlations, "distance_of_distances": distances, "hrp_weights": hrp, "onc": onc, "silhouette_scores": silhouette,
@@ -406,5 +417,5 @@ SQL = {
     "sharpe_ratio": SHARPE, "probabilistic_sharpe_ratio": PSR, "bet_timing": BET_TIMING, "holding_period": HOLDING, "return_concentration": CONCENTRATION, "drawdown_time_under_water": DRAWDOWN, "cscv_logits": f"WITH {CSCV} SELECT split_id, best_trial, CAST(rank AS BIGINT) AS rank, CAST(n_trials AS BIGINT) AS n_trials, round(logit, 6) AS logit FROM cs",
     "pbo": f"WITH {CSCV} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, CAST(count(*) AS BIGINT) AS n_splits, round(avg(logit), 6) AS mean_logit FROM cs", "deflated_sharpe": DEFLATED, "performance_matrix": f"WITH {PERFORMANCE} SELECT t, trial_id, round(ret, 9) AS ret FROM performance WHERE t < 50",
     "binomial_risk": BINOMIAL, "probability_of_failure": FAILURE, "fit_ou": FIT_OU, "bet_sizing": SIZING, "average_active_signals": ACTIVE, "correlation_distance": CORRELATIONS, "distance_of_distances": DISTANCES, "silhouette_scores": SILHOUETTE, "cusum_test": CUSUM, "chu_stinchcombe_white": CSW, "chu_stinchcombe_white_fixed": CSW_FIXED,
-    "adf_stat": ADF, "sadf": SADF, "qadf_cadf": QADF, "smt_exp": SMT, "chow_dfc_sdfc": CHOW, "plug_in_entropy": PLUG_IN, "encodings": ENCODINGS, "mdi_from_matrix": MDI, "mp_pandas_obj": MOLECULES,
+    "adf_stat": ADF, "sadf": SADF, "qadf_cadf": QADF, "smt_exp": SMT, "chow_dfc_sdfc": CHOW, "plug_in_entropy": PLUG_IN, "lempel_ziv_parse": f"{LZ} SELECT * FROM parsed", "lempel_ziv_entropy": LZ_ENTROPY, "kontoyiannis_entropy": KONTO, "encodings": ENCODINGS, "mdi_from_matrix": MDI, "mp_pandas_obj": MOLECULES,
 }
