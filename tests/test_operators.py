@@ -41,6 +41,11 @@ def test_tick_bars_drop_an_open_bar(spark):
         bars.tick_bars(ticks(spark, [1]), 0)
 
 
+def test_tick_bars_bucket_by_bucket(spark):
+    t = ticks(spark, range(1, 200), start="2024-01-01 23:59:00")
+    assert sorted(bars.tick_bars(t, 7, bucket="minute").collect()) == sorted(bars.tick_bars(t, 7).collect())
+
+
 def test_time_bars_close_on_the_right(spark):
     got = bars.time_bars(ticks(spark, [1, 2, 3], start="2024-01-01 00:00:59"), "1 minute").orderBy("bar_ts").collect()
     assert [(str(r["bar_ts"]), r["ticks"]) for r in got] == [("2024-01-01 00:01:00", 2), ("2024-01-01 00:02:00", 1)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.microstructure import tick_rule
-from tidemark.operators.series import SERIES, by_series, fold, order_of, with_pos
+from tidemark.operators.series import SERIES, by_series, fold, order_of, with_long_pos, with_pos
 
 KINDS = ("tick", "volume", "dollar")
 
@@ -45,11 +45,14 @@ def time_bars(ticks: DataFrame, freq: str = "1 minute") -> DataFrame:
     return bars.drop("__at")
 
 
-def tick_bars(ticks: DataFrame, threshold: int) -> DataFrame:
-    """A bar every `threshold` ticks."""
+def tick_bars(ticks: DataFrame, threshold: int, bucket: str | None = None) -> DataFrame:
+    """A bar every `threshold` ticks.
+
+    With a bucket ("day", "hour"), ticks are numbered bucket by bucket, so that no task holds a whole series.
+    """
     if threshold != int(threshold) or threshold < 1:
         raise ValueError("threshold must be a positive integer")
-    ticks = with_pos(_volume(ticks), name="__pos").withColumn("bar_id", F.floor(F.col("__pos") / F.lit(int(threshold))).cast("long")).drop("__pos")
+    ticks = (with_long_pos(_volume(ticks), name="__pos", bucket=bucket) if bucket else with_pos(_volume(ticks), name="__pos")).withColumn("bar_id", F.floor(F.col("__pos") / F.lit(int(threshold))).cast("long")).drop("__pos")
     return _closed(_ohlcv(ticks, ["bar_id"]).filter(F.col("ticks") == int(threshold)), order_of(ticks))
 
 

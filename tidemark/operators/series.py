@@ -30,6 +30,19 @@ def with_pos(df: DataFrame, order: Sequence[str] | None = None, name: str = "pos
     return df.withColumn(name, (F.row_number().over(by_series(df, order)) - 1).cast("long"))
 
 
+def with_long_pos(df: DataFrame, order: Sequence[str] | None = None, name: str = "pos", bucket: str = "day") -> DataFrame:
+    """with_pos for series too long for one task: rows are numbered inside (series, bucket of ts), and the rows of earlier buckets are added.
+
+    Bucket counts are combined before their shuffle, and only they are put in order per series.
+    """
+    keys = order_of(df, order)
+    x = df.withColumn("__b", F.date_trunc(bucket, "ts"))
+    counts = x.groupBy(SERIES, "__b").agg(F.count("*").alias("__n"))
+    before = counts.select(SERIES, "__b", F.coalesce(F.sum("__n").over(Window.partitionBy(SERIES).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(SERIES, "__b").orderBy(*keys)) - 1
+    return x.withColumn(name, inside).join(before, [SERIES, "__b"]).withColumn(name, (F.col(name) + F.col("__before")).cast("long")).drop("__b", "__before")
+
+
 def require_finite(df: DataFrame, *columns: str, positive: Sequence[str] = (), unique: Sequence[str] = ()) -> DataFrame:
     """The same rows, if all are finite (and positive where asked, and unique by `unique`); else ValueError. One pass."""
     bad = [F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(f"{c}: not finite") for c in columns]

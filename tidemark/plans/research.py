@@ -88,7 +88,7 @@ def cscv(spark: SparkSession, d: str) -> DataFrame:
     return _r(S.cscv(performance(spark, d), 8).select("split_id", "best_trial", "rank", "n_trials", "logit"), "logit")
 
 
-CSCV = PERFORMANCE + """, bl AS (SELECT trial_id, t // 25 AS b, ret FROM performance), sp AS (SELECT CAST(row_number() OVER (ORDER BY a, b, c, d) - 1 AS INTEGER) AS split_id, [a, b, c, d] AS l FROM (SELECT unnest(range(8)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(8)) AS c), (SELECT unnest(range(8)) AS d) WHERE a < b AND b < c AND c < d),
+CSCV = PERFORMANCE + """, bl AS (SELECT trial_id, t // (n // 8) AS b, ret FROM performance, shared), sp AS (SELECT CAST(row_number() OVER (ORDER BY a, b, c, d) - 1 AS INTEGER) AS split_id, [a, b, c, d] AS l FROM (SELECT unnest(range(8)) AS a), (SELECT unnest(range(8)) AS b), (SELECT unnest(range(8)) AS c), (SELECT unnest(range(8)) AS d) WHERE a < b AND b < c AND c < d),
 sc AS (SELECT split_id, trial_id, avg(ret) FILTER (WHERE list_contains(l, b)) / stddev_samp(ret) FILTER (WHERE list_contains(l, b)) AS i, avg(ret) FILTER (WHERE NOT list_contains(l, b)) / stddev_samp(ret) FILTER (WHERE NOT list_contains(l, b)) AS o FROM sp, bl GROUP BY 1, 2),
 w AS (SELECT split_id, arg_max(trial_id, i) AS best_trial, arg_max(o, i) AS bo FROM sc GROUP BY 1), rk AS (SELECT w.split_id, any_value(best_trial) AS best_trial, count(*) FILTER (WHERE o <= bo) AS rank, count(*) AS n_trials FROM w JOIN sc USING (split_id) GROUP BY 1),
 cs AS (SELECT *, ln((rank / (n_trials + 1.0)) / (1 - rank / (n_trials + 1.0))) AS logit FROM rk)"""
@@ -110,7 +110,7 @@ SELECT trial_id, round(sr, 7) AS sr, CAST(n AS BIGINT) AS n, round(skew, 7) AS s
 
 
 def performance_matrix(spark: SparkSession, d: str) -> DataFrame:
-    p = performance(spark, d, 50)
+    p = performance(spark, d)
     trials = p.groupBy("trial_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "ret"))), lambda s: s["ret"]).alias("returns"))
     return _r(S.performance_matrix(trials), "ret", digits=9)
 
@@ -167,53 +167,56 @@ def active_signals(spark: SparkSession, d: str) -> DataFrame:
 
 ACTIVE = f"WITH {LABELS} SELECT d.series_id, d.ts, round(coalesce(avg(l.trgt * l.side), 0), 6) AS signal FROM days d LEFT JOIN labels l ON d.ts BETWEEN l.t0 AND l.t1 GROUP BY 1, 2"
 
-N = 6
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """embeddings as columns x0 ..., and their names."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(n))), [f"x{k}" for k in range(n)]
 
 
-def _wide(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(N)))
+def _moments(spark: SparkSession, d: str, kind: str = "cov") -> DataFrame:
+    return H.pair_moments(*_wide(spark, d), kind)
 
 
 def correlations(spark: SparkSession, d: str) -> DataFrame:
-    c = H.pair_moments(_wide(spark, d), [f"x{k}" for k in range(N)], "corr")
+    c = _moments(spark, d, "corr")
     return _r(H.correlation_distance(c), "v")
 
 
-WIDE = f"WITH wide AS (SELECT vec_id, label, {', '.join(f'CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}' for k in range(N))} FROM embeddings)"
-_CELLS = " UNION ALL ".join(f"SELECT 0 AS matrix_id, {i} AS i, {j} AS j, {{fn}}(x{i}, x{j}) AS v FROM wide" for i in range(N) for j in range(N))
-CORRELATIONS = f"{WIDE}, c AS ({_CELLS.format(fn='corr')}) SELECT matrix_id, i, j, round(sqrt(greatest(0, 0.5 * (1 - v))), 6) AS v FROM c"
+CORR = "WITH dims AS (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS k), cells AS (SELECT 0 AS matrix_id, CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, corr(CAST(embedding[a.k + 1] AS DOUBLE), CAST(embedding[b.k + 1] AS DOUBLE)) AS v FROM embeddings, dims a, dims b GROUP BY 1, 2, 3), dist AS (SELECT matrix_id, i, j, CASE WHEN i = j THEN 0 ELSE sqrt(greatest(0, 0.5 * (1 - v))) END AS v FROM cells)"
+CORRELATIONS = f"{CORR} SELECT matrix_id, i, j, round(v, 6) AS v FROM dist"
 
 
 def distances(spark: SparkSession, d: str) -> DataFrame:
-    c = H.pair_moments(_wide(spark, d), [f"x{k}" for k in range(N)], "corr")
+    c = _moments(spark, d, "corr")
     return _r(H.distance_of_distances(H.correlation_distance(c)), "v", digits=5)
 
 
-DISTANCES = f"{WIDE}, c AS ({_CELLS.format(fn='corr')}), d AS (SELECT i, j, CASE WHEN i = j THEN 0 ELSE sqrt(greatest(0, 0.5 * (1 - v))) END AS v FROM c) SELECT 0 AS matrix_id, a.j AS i, b.j AS j, round(sqrt(sum(pow(a.v - b.v, 2))), 5) AS v FROM d a JOIN d b USING (i) GROUP BY a.j, b.j"
+DISTANCES = f"{CORR} SELECT 0 AS matrix_id, a.j AS i, b.j AS j, round(sqrt(sum(pow(a.v - b.v, 2))), 5) AS v FROM dist a JOIN dist b USING (i) GROUP BY a.j, b.j"
 
 
 def hrp(spark: SparkSession, d: str) -> DataFrame:
-    return _r(H.hrp_weights(H.pair_moments(_wide(spark, d), [f"x{k}" for k in range(N)])), "weight")
+    return _r(H.hrp_weights(_moments(spark, d)), "weight")
 
 
 def onc(spark: SparkSession, d: str) -> DataFrame:
-    return H.onc(H.pair_moments(_wide(spark, d), [f"x{k}" for k in range(N)], "corr"), 4)
+    return H.onc(_moments(spark, d, "corr"), 4)
 
 
 def silhouette(spark: SparkSession, d: str) -> DataFrame:
-    c = H.correlation_distance(H.pair_moments(_wide(spark, d), [f"x{k}" for k in range(N)], "corr"))
-    lab = spark.createDataFrame([(0, k, k % 2) for k in range(N)], "matrix_id int, i int, label int")
+    c = H.correlation_distance(_moments(spark, d, "corr"))
+    lab = c.select("matrix_id", "i").distinct().withColumn("label", F.col("i") % 2)
     return _r(H.silhouette_scores(c, lab), "silhouette")
 
 
-SILHOUETTE = f"{WIDE}, c AS ({_CELLS.format(fn='corr')}), d AS (SELECT i, j, sqrt(greatest(0, 0.5 * (1 - v))) AS v FROM c WHERE i <> j), p AS (SELECT i, j % 2 AS g, avg(v) AS m FROM d GROUP BY 1, 2), s AS (SELECT i, max(m) FILTER (WHERE g = i % 2) AS a, min(m) FILTER (WHERE g <> i % 2) AS b FROM p GROUP BY 1) SELECT 0 AS matrix_id, i, round((b - a) / greatest(a, b), 6) AS silhouette FROM s"
+SILHOUETTE = f"{CORR}, p AS (SELECT i, j % 2 AS g, avg(v) AS m FROM dist WHERE i <> j GROUP BY 1, 2), s AS (SELECT i, max(m) FILTER (WHERE g = i % 2) AS a, min(m) FILTER (WHERE g <> i % 2) AS b FROM p GROUP BY 1) SELECT 0 AS matrix_id, i, round((b - a) / greatest(a, b), 6) AS silhouette FROM s"
 
 
-def _levels(spark: SparkSession, d: str, n: int = 300) -> DataFrame:
-    return with_pos(days(spark, d)).filter(F.col("pos") < n).select("series_id", "pos", F.log("price").alias("value"))
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return with_pos(days(spark, d)).select("series_id", "pos", F.log("price").alias("value"))
 
 
-LEVELS = DAYS + ", lv AS (SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS pos, ln(price) AS y FROM days), lev AS (SELECT * FROM lv WHERE pos < 300)"
+LEVELS = DAYS + ", lev AS (SELECT CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS pos, ln(price) AS y FROM days)"
 
 
 def cusum(spark: SparkSession, d: str) -> DataFrame:
@@ -251,15 +254,19 @@ ADF = f"{_DF} SELECT 'all' AS series_id, round({_TAU}, 6) AS tau FROM x WHERE x
 
 
 def sadf(spark: SparkSession, d: str) -> DataFrame:
-    return _r(K.sadf(_levels(spark, d, 150), 20, 0, "c"), "sadf", digits=5)
+    return _r(K.sadf(_levels(spark, d), 20, 0, "c"), "sadf", digits=5)
 
 
-_PAIRS = f"{_DF}, w AS (SELECT e.pos AS e, s.pos AS s, {_TAU} AS tau FROM lev e JOIN lev s ON s.pos <= e.pos - 19 JOIN x ON x.pos > s.pos AND x.pos <= e.pos WHERE e.pos < 150 GROUP BY 1, 2)"
+# moments of windows are differences of prefix sums of centred values
+_PAIRS = f"""WITH {LEVELS}, ctr AS (SELECT pos, y - avg(y) OVER () AS y FROM lev), x AS (SELECT pos, lag(y) OVER (ORDER BY pos) AS x, y - lag(y) OVER (ORDER BY pos) AS d FROM ctr),
+ps AS (SELECT pos, coalesce(sum(x) OVER w, 0) AS a, coalesce(sum(x * x) OVER w, 0) AS b, coalesce(sum(d) OVER w, 0) AS c, coalesce(sum(d * d) OVER w, 0) AS e, coalesce(sum(x * d) OVER w, 0) AS f FROM x WINDOW w AS (ORDER BY pos)),
+m AS (SELECT q.pos AS e, p.pos AS s, CAST(q.pos - p.pos AS DOUBLE) AS n, q.a - p.a AS a, q.b - p.b AS b, q.c - p.c AS c, q.e - p.e AS g, q.f - p.f AS f FROM ps q JOIN ps p ON p.pos <= q.pos - 19),
+w AS (SELECT e, s, (f - a * c / n) / (b - a * a / n) / sqrt((g - c * c / n - pow(f - a * c / n, 2) / (b - a * a / n)) / (n - 2) / (b - a * a / n)) AS tau FROM m)"""
 SADF = f"{_PAIRS} SELECT 'all' AS series_id, e AS pos, round(max(tau), 5) AS sadf FROM w GROUP BY e"
 
 
 def qadf(spark: SparkSession, d: str) -> DataFrame:
-    x = _levels(spark, d, 150)
+    x = _levels(spark, d)
     return _r(K.qadf(x, 20, 0, 0.9, "c", 0.05).join(K.cadf(x, 20, 0, 0.9), ["series_id", "pos"]), "qadf", "dispersion", "cadf", digits=5)
 
 
@@ -271,15 +278,18 @@ def sadf_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smt(spark: SparkSession, d: str) -> DataFrame:
-    x = _levels(spark, d, 120).withColumn("value", F.exp("value"))
-    return _r(K.smt(x, 20, "exp", 0.5), "smt", digits=5)
+    x = _levels(spark, d).withColumn("value", F.exp("value"))
+    return _r(K.smt(x, 20, "exp", 0.5), "smt", digits=4)
 
 
-SMT = f"WITH {LEVELS}, w AS (SELECT e.pos AS e, s.pos AS s, abs(regr_slope(l.y, l.pos + 1)) / sqrt((regr_syy(l.y, l.pos + 1) - regr_slope(l.y, l.pos + 1) * regr_sxy(l.y, l.pos + 1)) / (count(*) - 2) / regr_sxx(l.y, l.pos + 1)) / pow(e.pos - s.pos, 0.5) AS t FROM lev e JOIN lev s ON s.pos <= e.pos - 19 JOIN lev l ON l.pos BETWEEN s.pos AND e.pos WHERE e.pos < 120 GROUP BY 1, 2) SELECT 'all' AS series_id, e AS pos, round(max(t), 5) AS smt FROM w GROUP BY e"
+SMT = f"""WITH {LEVELS}, ctr AS (SELECT pos, y - avg(y) OVER () AS y, CAST(pos AS DOUBLE) AS t FROM lev), ps AS (SELECT pos, sum(y) OVER w AS a, sum(y * y) OVER w AS b, sum(t * y) OVER w AS f, y, t FROM ctr WINDOW w AS (ORDER BY pos)),
+m AS (SELECT q.pos AS e, p.pos AS s, CAST(q.pos - p.pos + 1 AS DOUBLE) AS n, q.a - p.a + p.y AS a, q.b - p.b + p.y * p.y AS b, q.f - p.f + p.t * p.y AS f, (q.t + p.t) / 2 AS mt FROM ps q JOIN ps p ON p.pos <= q.pos - 19),
+z AS (SELECT e, s, n, f - mt * a AS sxy, n * (n * n - 1) / 12 AS sxx, b - a * a / n AS syy FROM m)
+SELECT 'all' AS series_id, e AS pos, round(max(abs(sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) / sqrt(e - s)), 4) AS smt FROM z GROUP BY e"""
 
 
 def smt_poly(spark: SparkSession, d: str) -> DataFrame:
-    return _r(K.smt(_levels(spark, d, 80), 20, "poly1"), "smt", digits=5)
+    return _r(K.smt(_levels(spark, d), 20, "poly1"), "smt", digits=5)
 
 
 def chow(spark: SparkSession, d: str) -> DataFrame:
@@ -287,8 +297,8 @@ def chow(spark: SparkSession, d: str) -> DataFrame:
     return _r(K.chow_dfc(x, 0.4).withColumnRenamed("brk", "at").join(K.sdfc(x), "series_id").select("series_id", "at", "dfc", "sdfc", "brk"), "dfc", "sdfc", digits=5)
 
 
-CHOW = f"""{_DF}, b AS (SELECT p.pos AS brk, sum(x.x * x.x) FILTER (WHERE x.pos >= p.pos) AS sxx, sum(x.x * x.d) FILTER (WHERE x.pos >= p.pos) AS sxy, sum(x.d * x.d) AS sdd FROM lev p, x WHERE x.x IS NOT NULL AND p.pos > 0 GROUP BY 1), f AS (SELECT brk, (sxy / sxx) / sqrt((sdd - sxy * sxy / sxx) / 298 / sxx) AS f FROM b)
-SELECT 'all' AS series_id, CAST(120 AS BIGINT) AS at, round((SELECT f FROM f WHERE brk = 120), 5) AS dfc, round(max(f), 5) AS sdfc, arg_max(brk, f) AS brk FROM f WHERE brk BETWEEN 45 AND 255"""
+CHOW = f"""{_DF}, b AS (SELECT p.pos AS brk, sum(x.x * x.x) FILTER (WHERE x.pos >= p.pos) AS sxx, sum(x.x * x.d) FILTER (WHERE x.pos >= p.pos) AS sxy, sum(x.d * x.d) AS sdd FROM lev p, x WHERE x.x IS NOT NULL AND p.pos > 0 GROUP BY 1), f AS (SELECT brk, (sxy / sxx) / sqrt((sdd - sxy * sxy / sxx) / (n - 2) / sxx) AS f, n FROM b, (SELECT count(*) AS n FROM lev))
+SELECT 'all' AS series_id, CAST(any_value(ceil(round(0.4 * n, 9))) AS BIGINT) AS at, round(max(f) FILTER (WHERE brk = ceil(round(0.4 * n, 9))), 5) AS dfc, round(max(f) FILTER (WHERE brk BETWEEN ceil(round(0.15 * n, 9)) AND ceil(round(0.85 * n, 9))), 5) AS sdfc, arg_max(brk, f) FILTER (WHERE brk BETWEEN ceil(round(0.15 * n, 9)) AND ceil(round(0.85 * n, 9))) AS brk FROM f"""
 
 
 def plug_in(spark: SparkSession, d: str) -> DataFrame:
@@ -326,16 +336,16 @@ SELECT r.series_id, r.ts, CAST(len(list_filter(q, lambda x: x <= ret)) AS BIGINT
 
 
 def mdi(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("tree"), F.posexplode(F.slice("embedding", 1, 5)).alias("feature", "v")).withColumn("v", F.when(F.col("tree") % 3 == F.col("feature") % 3, 0.0).otherwise(F.abs(F.col("v").cast("double"))))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("tree"), F.posexplode("embedding").alias("feature", "v")).withColumn("v", F.when(F.col("tree") % 3 == F.col("feature") % 3, 0.0).otherwise(F.abs(F.col("v").cast("double"))))
     return _r(U.mdi_from_matrix(v), "mean", "se")
 
 
-MDI = "WITH v AS (SELECT vec_id AS tree, f AS feature, abs(CAST(embedding[f + 1] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range(5)) AS f) WHERE vec_id % 3 <> f % 3), g AS (SELECT feature, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS s FROM v WHERE v <> 0 GROUP BY 1) SELECT CAST(feature AS INTEGER) AS feature, round(m / sum(m) OVER (), 6) AS mean, round(s / sum(m) OVER (), 6) AS se FROM g"
+MDI = "WITH v AS (SELECT vec_id AS tree, f AS feature, abs(CAST(embedding[f + 1] AS DOUBLE)) AS v FROM embeddings, (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS f) WHERE vec_id % 3 <> f % 3), g AS (SELECT feature, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS s FROM v WHERE v <> 0 GROUP BY 1) SELECT CAST(feature AS INTEGER) AS feature, round(m / sum(m) OVER (), 6) AS mean, round(s / sum(m) OVER (), 6) AS se FROM g"
 
 
 def _data(spark: SparkSession, d: str) -> tuple[dict, DataFrame, list[str]]:
-    cols = [f"x{k}" for k in range(N)]
-    wide = _wide(spark, d).withColumnRenamed("vec_id", "pos").withColumn("label", F.when(F.col("x0") + F.col("x1") > 0, 1).otherwise(0))
+    wide, cols = _wide(spark, d)
+    wide = wide.withColumnRenamed("vec_id", "pos").withColumn("label", F.when(F.col("x0") + F.col("x1") > 0, 1).otherwise(0))
     samples = wide.select(F.lit("all").alias("series_id"), "pos", F.col("pos").alias("end_pos"))
     return U.training_arrays(wide, cols, "label"), C.purged_kfold(samples, 4), cols
 
@@ -363,11 +373,12 @@ def bagging(spark: SparkSession, d: str) -> DataFrame:
     data, _, cols = _data(spark, d)
     n = len(data["y"])
     m = U.SequentialBootstrapBagging(n_estimators=5, seed=3).fit(spark, data, np.arange(n), np.minimum(np.arange(n) + 5, n - 1))
-    return m.transform(_wide(spark, d), cols).select("vec_id", "prediction")
+    return m.transform(_wide(spark, d)[0], cols).select("vec_id", "prediction")
 
 
 def orthogonal(spark: SparkSession, d: str) -> DataFrame:
-    return _r(U.orthogonal_features(_wide(spark, d), [f"x{k}" for k in range(N)], 0.9).drop(*(f"x{k}" for k in range(N))), "PC_1")
+    wide, cols = _wide(spark, d)
+    return U.orthogonal_features(wide, cols, 0.9).drop(*cols)
 
 
 def min_d(spark: SparkSession, d: str) -> DataFrame:
@@ -415,7 +426,7 @@ QUERIES = {
 }
 SQL = {
     "sharpe_ratio": SHARPE, "probabilistic_sharpe_ratio": PSR, "bet_timing": BET_TIMING, "holding_period": HOLDING, "return_concentration": CONCENTRATION, "drawdown_time_under_water": DRAWDOWN, "cscv_logits": f"WITH {CSCV} SELECT split_id, best_trial, CAST(rank AS BIGINT) AS rank, CAST(n_trials AS BIGINT) AS n_trials, round(logit, 6) AS logit FROM cs",
-    "pbo": f"WITH {CSCV} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, CAST(count(*) AS BIGINT) AS n_splits, round(avg(logit), 6) AS mean_logit FROM cs", "deflated_sharpe": DEFLATED, "performance_matrix": f"WITH {PERFORMANCE} SELECT t, trial_id, round(ret, 9) AS ret FROM performance WHERE t < 50",
+    "pbo": f"WITH {CSCV} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, CAST(count(*) AS BIGINT) AS n_splits, round(avg(logit), 6) AS mean_logit FROM cs", "deflated_sharpe": DEFLATED, "performance_matrix": f"WITH {PERFORMANCE} SELECT t, trial_id, round(ret, 9) AS ret FROM performance",
     "binomial_risk": BINOMIAL, "probability_of_failure": FAILURE, "fit_ou": FIT_OU, "bet_sizing": SIZING, "average_active_signals": ACTIVE, "correlation_distance": CORRELATIONS, "distance_of_distances": DISTANCES, "silhouette_scores": SILHOUETTE, "cusum_test": CUSUM, "chu_stinchcombe_white": CSW, "chu_stinchcombe_white_fixed": CSW_FIXED,
     "adf_stat": ADF, "sadf": SADF, "qadf_cadf": QADF, "smt_exp": SMT, "chow_dfc_sdfc": CHOW, "plug_in_entropy": PLUG_IN, "lempel_ziv_parse": f"{LZ} SELECT * FROM parsed", "lempel_ziv_entropy": LZ_ENTROPY, "kontoyiannis_entropy": KONTO, "encodings": ENCODINGS, "mdi_from_matrix": MDI, "mp_pandas_obj": MOLECULES,
 }

@@ -74,21 +74,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 MESSAGES = "messages AS (SELECT concat('m', user_id % 4) AS series_id, ts, event_id AS seq, event_type AS symbol FROM events)"
 
 
-def performance(spark: SparkSession, sf_dir: str, size: int = 200) -> DataFrame:
-    """t, trial_id, ret: the first `size` daily returns of each order priority."""
+def performance(spark: SparkSession, sf_dir: str, multiple: int = 8) -> DataFrame:
+    """t, trial_id, ret: daily returns of each order priority, over the largest multiple of `multiple` days that all have."""
     w = Window.partitionBy("series_id").orderBy("ts")
     r = returns(spark, sf_dir).select((F.row_number().over(w) - 1).cast("long").alias("t"), F.substring("series_id", 1, 1).cast("int").alias("trial_id"), "ret")
-    return r.filter(F.col("t") < size)
+    shared = r.groupBy("trial_id").count().agg(F.min("count").alias("n")).select((F.col("n") - F.col("n") % multiple).alias("n"))
+    return r.crossJoin(F.broadcast(shared)).filter("t < n").drop("n")
 
 
-PERFORMANCE = RETURNS + ", performance AS (SELECT * FROM (SELECT CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS t, CAST(substr(series_id, 1, 1) AS INTEGER) AS trial_id, ret FROM returns) WHERE t < 200)"
+PERFORMANCE = RETURNS + ", numbered_returns AS (SELECT CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS t, CAST(substr(series_id, 1, 1) AS INTEGER) AS trial_id, ret FROM returns), shared AS (SELECT min(c) - min(c) % 8 AS n FROM (SELECT count(*) AS c FROM numbered_returns GROUP BY trial_id)), performance AS (SELECT t, trial_id, ret FROM numbered_returns, shared WHERE t < n)"
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """series_id, label_id, t0, t1, trgt, side: every tenth day of the one daily series starts a label of 15 days."""
+    """series_id, label_id, t0, t1, trgt, side: each day of the one daily series starts a label of 15 days."""
     w = Window.partitionBy("series_id").orderBy("ts")
     d = days(spark, sf_dir).withColumn("pos", F.row_number().over(w) - 1)
-    return d.filter("pos % 10 = 3").select("series_id", F.col("pos").cast("long").alias("label_id"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 15 DAY")).alias("t1"), (F.lit(0.02) + F.col("pos") % 7 * 0.01).alias("trgt"), F.when(F.col("pos") % 3 == 0, -1.0).otherwise(1.0).alias("side"))
+    return d.select("series_id", F.col("pos").cast("long").alias("label_id"), F.col("ts").alias("t0"), (F.col("ts") + F.expr("INTERVAL 15 DAY")).alias("t1"), (F.lit(0.02) + F.col("pos") % 7 * 0.01).alias("trgt"), F.when(F.col("pos") % 3 == 0, -1.0).otherwise(1.0).alias("side"))
 
 
-LABELS = DAYS + ", numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS pos FROM days), labels AS (SELECT series_id, pos AS label_id, ts AS t0, ts + INTERVAL 15 DAY AS t1, CAST(0.02 AS DOUBLE) + pos % 7 * CAST(0.01 AS DOUBLE) AS trgt, CAST(CASE WHEN pos % 3 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS side FROM numbered WHERE pos % 10 = 3)"
+LABELS = DAYS + ", numbered AS (SELECT *, CAST(row_number() OVER (ORDER BY ts) - 1 AS BIGINT) AS pos FROM days), labels AS (SELECT series_id, pos AS label_id, ts AS t0, ts + INTERVAL 15 DAY AS t1, CAST(0.02 AS DOUBLE) + pos % 7 * CAST(0.01 AS DOUBLE) AS trgt, CAST(CASE WHEN pos % 3 = 0 THEN -1 ELSE 1 END AS DOUBLE) AS side FROM numbered)"
