@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.functions.normal import phi_value
 from tidemark.operators.bars import _alpha, _Imbalance, _Runs, _Since
 from tidemark.operators.series import SERIES
 
@@ -116,6 +117,69 @@ class _Bars:
         return [(self.number - 1, ts, seq, *b)]
 
 
+class _Vpin:
+    """Buckets of equal volume with shares bought by bulk classification, and a ring of the last imbalances."""
+
+    def __init__(self, bucket: float, window: int):
+        self.bucket, self.window = bucket, window
+        self.last, self.n, self.mean, self.m2 = None, 0, 0.0, 0.0
+        self.fill = self.buy = self.sell = 0.0
+        self.ring: list[float] = []
+        self.number = 0
+
+    def step(self, row) -> list[tuple]:
+        share = 0.5
+        if self.last is not None:
+            d = row.price - self.last
+            sd = (self.m2 / (self.n - 1)) ** 0.5 if self.n > 1 else None
+            if sd:
+                share = phi_value(d / sd)
+            elif sd == 0 and d:
+                share = 1.0 if d > 0 else 0.0
+            self.n += 1
+            step = d - self.mean
+            self.mean += step / self.n
+            self.m2 += step * (d - self.mean)
+        self.last = row.price
+        left, out = float(row.volume), []
+        while left > 0:
+            part = min(left, self.bucket - self.fill)
+            self.fill, self.buy, self.sell, left = self.fill + part, self.buy + part * share, self.sell + part * (1 - share), left - part
+            if self.fill >= self.bucket * (1 - 1e-12):
+                self.ring = [*self.ring, abs(self.buy - self.sell)][-self.window :]
+                full = len(self.ring) == self.window
+                out.append((self.number, self.buy, self.sell, sum(self.ring) / (self.window * self.bucket) if full else None))
+                self.number, self.fill, self.buy, self.sell = self.number + 1, 0.0, 0.0, 0.0
+        return out
+
+
+class _Holding:
+    """Average time that closed size was held, as it stands after each row that closes some."""
+
+    def __init__(self):
+        self.entry = self.weighted = self.closed = 0.0
+        self.first = self.last = None
+
+    def step(self, row) -> list[tuple]:
+        p = float(row.position)
+        if self.last is None:
+            self.first, self.last = row.ts, p
+            return []
+        t, last = (row.ts - self.first) / pd.Timedelta(days=1), self.last
+        d, before = p - last, self.closed
+        if last == 0 or d == 0 or (d > 0) == (last > 0):
+            if p != 0:
+                self.entry = (self.entry * last + t * d) / p
+        else:
+            flip = p != 0 and (p > 0) != (last > 0)
+            size = abs(last) if flip else abs(d)
+            self.weighted += (t - self.entry) * size
+            self.closed += size
+            self.entry = t if flip else self.entry
+        self.last = p
+        return [(row.ts, self.weighted / self.closed)] if self.closed > before else []
+
+
 def _size(kind: str, p: float, v: float) -> float:
     return 1.0 if kind == "tick" else v if kind == "volume" else p * v
 
@@ -146,3 +210,12 @@ def stream_run_bars(ticks: DataFrame, kind: str = "tick", init_T: int = 100, spa
     return stateful(ticks, lambda: _Bars(_Runs(init_T, a, b), lambda s, p, v: (_size(kind, p, v) if s > 0 else 0.0, _size(kind, p, v) if s < 0 else 0.0), init_T), BAR)
 
 
+
+
+def stream_vpin(ticks: DataFrame, bucket_volume: float, n_window: int) -> DataFrame:
+    return stateful(ticks, lambda: _Vpin(bucket_volume, n_window), "bucket long, buy double, sell double, vpin double")
+
+
+def stream_holding_period(positions: DataFrame) -> DataFrame:
+    """positions: series_id, ts, seq, position."""
+    return stateful(positions, _Holding, "ts timestamp_ntz, holding_days double")
