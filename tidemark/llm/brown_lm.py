@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import _chunks as X
@@ -225,7 +225,11 @@ def fit_brown(train: DataFrame, counts: DataFrame, text_col: str, top_words: int
     about = counts.filter("chunk = -1")
     sums = about.agg(F.sum("tokens"), *(F.sum(F.col("types")[k]) for k in range(SHAPES))).first()
     tokens, types = sums[0] or 0, np.array([x or 0 for x in sums[1:]], dtype=np.int64)
-    top = about.select(F.explode("top").alias("t")).select("t.*").orderBy(F.col("n").desc(), "key").limit(top_words).collect()
+    best = (F.col("n").desc(), F.col("key"))
+    # the best of 64 slices first: the driver gets as many rows however many buckets there are
+    top = about.select(F.explode("top").alias("t")).select("t.*").withColumn("slice", F.pmod(F.xxhash64("key"), F.lit(64)))
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("slice").orderBy(*best))).filter(F.col("r") <= top_words).groupBy().agg(F.array_agg(F.struct(F.col("n"), F.col("key"), F.col("shape"))).alias("t"))
+    top = sorted((top.first()["t"] or []), key=lambda r: (-r["n"], r["key"]))[:top_words]
     end = word_key(END) - (1 << 64 if word_key(END) >= 1 << 63 else 0)
     rows = [r for r in top if r["key"] != end]
     keys = [word_key(END)] + [r["key"] % (1 << 64) for r in rows]  # item 0 is the end of a text, which also stands before a text
