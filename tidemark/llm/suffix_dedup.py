@@ -32,6 +32,7 @@ names; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -303,6 +304,8 @@ class _Found:
         self.ids, texts, self.order = X.rows(table)
         self.texts = [t or b"" for t in texts]
         self.batches = list(_batches(self.texts))
+        if not gram:  # the texts alone
+            return
         sampled = [b.samples(window, gram) for b in self.batches]
         hashes = np.concatenate([s[1] for s in sampled]) if sampled else np.zeros(0, dtype=np.uint64)
         self.keys, place, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
@@ -341,8 +344,11 @@ class _Found:
         self.string_checks = np.concatenate(checks) if checks else np.zeros(0, dtype=np.uint32)
 
     def cuts(self, buckets: int) -> list[int]:
-        g = np.array([c[0] for c in self.contexts], dtype=np.uint64)
-        return [0, *np.searchsorted(g, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)).tolist(), len(g)]
+        return _cuts(np.array([c[0] for c in self.contexts], dtype=np.uint64), buckets)
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> list[int]:
+    return [0, *np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)).tolist(), len(keys)]
 
 
 def _distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -389,13 +395,20 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
             if hi > lo:
                 mine = f.contexts[lo:hi]
                 out.append((b, chunk, hi - lo, _pack(np.array([c[0] for c in mine], dtype=np.uint64), np.array([c[1] for c in mine]), np.array([len(p) > 1 for p in f.places[lo:hi]]), [c[2] for c in mine])))
-        keys, check, many, _ = _distinct(f.string_keys, f.string_checks)
+        keys, check, many, place = _distinct(f.string_keys, f.string_checks)
         # buckets from `buckets` on are for strings around hot grams
         out += [(buckets + b, c, n, p) for b, c, n, p in X.send(chunk, keys, buckets, check, many)]
+        if out:
+            # what was sent from where: back to the chunk by a bucket of its own, so that it needn't look for samples again
+            where = [np.array([x[j] for p in f.places for x in p], dtype=np.int32) for j in range(2)]
+            note = (cuts, np.array([len(p) for p in f.places], dtype=np.int32), *where, _cuts(keys, buckets), [s.astype(np.int32) for s in f.strings], place.astype(np.int32))
+            out.append((2 * buckets + chunk, chunk, 0, zstandard.ZstdCompressor(level=1).compress(pickle.dumps(note))))
         return X.sent_table(out)
 
     def sort(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
+        if bucket >= 2 * buckets:
+            return X.reply_table([(c, -1, 3, p) for c, p in zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist(), strict=True)])
         if bucket >= buckets:
             chunks, counts, cols = X.unpack(table, np.uint64, np.uint32, np.uint8)
             flags, at, out = X.repeated(cols[0], cols[2], cols[1]), 0, []
@@ -427,27 +440,29 @@ def remove_repeated_strings(df: DataFrame, id_col: str = "doc_id", text_col: str
         return X.reply_table(out)
 
     def remove(chunk: int, table: pa.Table, got: pa.Table) -> pa.Table:
-        f = _Found(table, got, window, gram, buckets)
-        answers, cuts = X.replies(got, 2), f.cuts(buckets)
-        begin: list[list[int]] = [[] for _ in f.batches]  # covered stretches, by batch
-        end_: list[list[int]] = [[] for _ in f.batches]
-        for b, p in answers.items():
-            if b < buckets:
-                lo, hi = cuts[b], cuts[b + 1]
-                left, right = np.frombuffer(p, "<u2").reshape(2, hi - lo).tolist()
-                for places, x, y in zip(f.places[lo:hi], left, right, strict=True):
-                    if y:
-                        for k, at in places:
-                            begin[k].append(at - x)
-                            end_[k].append(at + y)
-        if len(f.string_keys):
-            keys, _, _, place = _distinct(f.string_keys, f.string_checks)
-            flags, at = X.flags_of(keys, buckets, {b - buckets: p for b, p in answers.items() if b >= buckets})[place], 0
-            for k, s in enumerate(f.strings):
-                mine = s[flags[at : at + len(s)]]
-                at += len(s)
-                begin[k] += mine.tolist()
-                end_[k] += (mine + window).tolist()
+        f = _Found(table, None, window, 0, buckets)
+        begin: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(f.batches)  # covered stretches, by batch
+        end_ = list(begin)
+        note = X.replies(got, 3).get(-1)
+        if note is not None:
+            cuts, counts, batch_of, at, string_cuts, strings, place = pickle.loads(zstandard.ZstdDecompressor().decompress(note))  # noqa: S301 - our own bytes
+            left, right = np.zeros((2, len(counts)), dtype=np.int64)
+            flags = np.zeros(string_cuts[-1], dtype=bool)
+            for b, p in X.replies(got, 2).items():
+                if b < buckets:
+                    left[cuts[b] : cuts[b + 1]], right[cuts[b] : cuts[b + 1]] = np.frombuffer(p, "<u2").reshape(2, cuts[b + 1] - cuts[b])
+                else:
+                    lo, hi = string_cuts[b - buckets], string_cuts[b - buckets + 1]
+                    flags[lo:hi] = np.unpackbits(np.frombuffer(p, dtype=np.uint8), count=hi - lo).astype(bool)
+            left, right = np.repeat(left, counts), np.repeat(right, counts)
+            hit = right > 0
+            done = 0
+            for k, s in enumerate(strings):
+                mine = hit & (batch_of == k)
+                again = s[flags[place[done : done + len(s)]]].astype(np.int64)
+                done += len(s)
+                begin[k] = np.concatenate([at[mine] - left[mine], again])
+                end_[k] = np.concatenate([at[mine] + right[mine], again + window])
         n_removed, n_spans, kept, sha, spans = [], [], [], [], []
         for k, b in enumerate(f.batches):
             n_bytes = len(b.bytes) + 1
