@@ -9,16 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir.
+
+    Where none is set: the session's checkpoint folder, else a temporary folder
+    in local mode (as in tests), else a folder in the warehouse, which executors
+    share.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored")
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
