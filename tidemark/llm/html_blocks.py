@@ -88,9 +88,9 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, int]]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, boilerplate by tag, by name, main by name
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, number, boilerplate by tag, by name, main by name, a header
     weight: dict[int, int] = {}
-    number = anchors = 0
+    number = anchors = named = 0  # named: the number of a block whose own tag has a boilerplate name
     heading = False
 
     def close() -> None:
@@ -101,11 +101,11 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, int]]:
             words = len(text.split(" "))
             b = Block(
                 text, words, len("".join(linked).split()), article >= 0,
-                any(s[2] or s[0] == "header" and article < 0 for s in inner) or article < 0 and any(s[2] for s in stack),
-                [s[1] for s in (inner if article >= 0 else stack) if s[3]], any(s[4] for s in stack), heading, any(s[0] == "li" for s in stack),
+                any(s[2] or s[5] and article < 0 for s in inner),
+                [s[1] for s in (inner if article >= 0 else stack) if s[3]] + [named] * bool(named), any(s[4] for s in stack), heading, any(s[0] == "li" for s in stack),
             )
-            for s in stack:
-                weight[s[1]] = weight.get(s[1], 0) + words
+            for n_ in [s[1] for s in stack] + [named] * bool(named):
+                weight[n_] = weight.get(n_, 0) + words
             out.append(b)
         parts.clear()
         linked.clear()
@@ -166,7 +166,11 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, int]]:
             heading = not closing
         elif name != "p" or not closing:
             heading = False
+        named = 0
         if name not in CONTAINER:
+            if not closing and end - lt > len(name) + 1 and _names(page[lt:end]) & BOILER_NAMES:
+                number += 1
+                named = number
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -178,7 +182,9 @@ def blocks_of(page: str) -> tuple[list[Block], dict[int, int]]:
                 stack.pop()
             number += 1
             names = _names(page[lt:end])
-            stack.append((name, number, name in BOILER_TAGS, bool(names & BOILER_NAMES), bool(names & MAIN_NAMES)))
+            boiler = names & BOILER_NAMES
+            # an article's own header is part of it, a page's is not
+            stack.append((name, number, name in BOILER_TAGS, bool(boiler - {"header"}), bool(names & MAIN_NAMES), name == "header" or "header" in boiler))
     close()
     return out, weight
 
