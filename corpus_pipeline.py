@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._store import stored
-from tidemark.llm.line_frequency import drop_boilerplate
+from tidemark.llm.line_frequency import SITE_RATIO, drop_boilerplate
 from tidemark.llm.mixture_packing import pack_mixture
 from tidemark.llm.quality_divergence import quality_rules
 from tidemark.llm.setsketch import deduplicate
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate on their source go; all documents stay."""
-    out = drop_boilerplate(docs, keep=("lang", "source", "n_chars"))
+    """Lines that are boilerplate on their source go; all documents stay, and copies of one text count as one page."""
+    out = drop_boilerplate(docs, max_ratio=SITE_RATIO, distinct=True, keep=("lang", "source", "n_chars"))
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.coalesce(F.length("kept_text"), F.col("n_chars")).cast("long").alias("n_chars"))
 
 

@@ -175,6 +175,19 @@ def test_lines_by_the_join_beyond_the_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, drop_boilerplate(docs(spark, rows)).collect())) == want
 
 
+def test_text_copied_over_a_third_of_a_host_stays(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    copy = "\n".join(prose(900 + k, 20) for k in range(5))
+    rows = [(k, "Menu\n" + "\n".join(prose(1000 + 9 * k + j, 20) for j in range(4)), "en", "a") for k in range(200)] + [(500 + k, copy, "en", "a") for k in range(100)]
+    full = docs(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    lined = pipeline.line_dedup(spark, full, "").persist()
+    texts = {r["doc_id"]: r["text"] for r in lined.collect()}
+    assert all(texts[k] == copy for k in range(500, 600))
+    assert all("Menu" not in texts[k] and len(texts[k].split("\n")) == 4 for k in range(200))
+    left = [r["text"] for r in pipeline.near_dedup(spark, lined, "").collect()]
+    assert left.count(copy) == 1 and len(left) == 201
+
+
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 def test_lines_are_those_of_sql(spark):
     assert ORACLE["op5_line_frequency"] == OP5_SQL

@@ -11,6 +11,11 @@ the shuffle, so a line on a third of all pages is no hot key.  A host has at
 most (lines per page / max_ratio) boilerplate lines; the table of them is
 broadcast after its size is known, and else joined by host and a salt.
 
+With `distinct`, pages of a host with one text count as one page, both in a
+line's count and in the host's: text that was copied onto many pages is no
+boilerplate, and stays for a later dedup of documents.  The pipeline works so,
+with `SITE_RATIO`; the query of this operator counts rows, as its SQL does.
+
 Cases: blank lines are kept and never counted; null texts are pages without
 lines and stay null; empty texts stay empty; a null host is a host; repeated
 rows are pages each; rows with a null id are kept; other columns are carried
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from tidemark.llm._store import stored
 
 MAX_RATIO, MIN_PAGES = 0.02, 5
+#: A ratio over distinct pages that site furniture reaches and lines of common text don't.
+SITE_RATIO = 0.06
 #: Digests of boilerplate lines (32 characters each) that may be broadcast.
 MAX_BROADCAST_LINES = 200_000
 SALTS = 64
@@ -38,19 +45,25 @@ def _digest(line: Column) -> Column:
 _BLANK = "d41d8cd98f00b204e9800998ecf8427e"  # of the empty string
 
 
-def boilerplate_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines array<string>): digests of the boilerplate lines of each host that has some."""
+def boilerplate_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+    """(host, lines array<string>): digests of the boilerplate lines of each host that has some. distinct: pages of a host with one text are one page."""
     pages = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    found = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), _digest))).alias("line"))
+    lines = F.array_distinct(F.transform(F.split("text", "\n", -1), _digest)).alias("lines")
+    if distinct:  # copies meet in their task first; what is shuffled are digests
+        pages = pages.select("host", F.md5("text").alias("page"), lines)
+        found = pages.groupBy("host", "page").agg(F.first("lines").alias("lines")).select("host", F.explode("lines").alias("line"))
+        pages = pages.select("host", "page").distinct()
+    else:
+        found = pages.select("host", lines).select("host", F.explode("lines").alias("line"))
     found = found.filter(F.col("line") != _BLANK).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "h")
     kept = found.join(totals, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > F.col("pages") * F.lit(max_ratio))
     return kept.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep: tuple[str, ...] = ()) -> DataFrame:
+def drop_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, distinct: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., kept_text, n_lines, n_dropped) for each row."""
-    lines = stored(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("h"), "lines")
+    lines = stored(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages, distinct), "boilerplate").select(F.col("host").alias("h"), "lines")
     size = lines.agg(F.sum(F.size("lines"))).first()[0] or 0
     cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{host_col}`").alias("host"), *(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep))]
     pages = df.select(*cols)
