@@ -51,6 +51,20 @@ def test_model_beats_base_where_order_matters(spark):
     assert np.allclose(p.sum(axis=1), 1)
 
 
+def test_words_beyond_the_top_have_classes_of_their_own(spark):
+    r = np.random.default_rng(1)
+    # all words but "p" and "q" end alike, and three of each kind are frequent; one kind follows "p", the other "q"
+    rows = [(k, " ".join(f"{'pq'[j % 2]} {'ab'[j % 2]}{r.integers(3) if r.random() < 0.4 else r.integers(10, 200)}xx" for j in range(40))) for k in range(150)]
+    held = [k for k in range(1000, 1100) if not trains(k)][:2]
+    right = " ".join(f"p a{j}xx q b{j}xx" for j in range(20, 40))
+    wrong = " ".join(f"p b{j}xx q a{j}xx" for j in range(20, 40))
+    got, model = brown_rows(spark, [*rows, (held[0], right), (held[1], wrong)], top_words=9, classes=8)
+    got = {x["doc_id"]: x for x in got}
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"])
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 5
+    assert model.class_types.sum() == model.types + brown_lm.SHAPES and model.class_count.sum() == model.tokens
+
+
 def likelihood(n, label):
     one = np.zeros((len(n), label.max() + 1))
     one[np.arange(len(n)), label] = 1
