@@ -386,6 +386,17 @@ def test_divergence_by_hand(spark):
     assert got[50]["char_divergence"] > 0.3
 
 
+def test_long_texts_without_common_words_go_and_short_clean_ones_stay(spark):
+    def text(seed, n, common):
+        r = np.random.default_rng(seed)
+        return " ".join(f"{common}{'abcdefghij'[r.integers(10)]}" if r.random() < 0.32 else "".join(chr(97 + x) for x in r.integers(26, size=7)) for _ in range(n))
+
+    rows = [(k, text(k, 60 if k % 2 else 600, "th"), "en") for k in range(80)] + [(100 + k, text(100 + k, 600, "quonk"), "en") for k in range(3)]
+    got = {r["doc_id"]: r for r in quality_divergence.quality_rules(docs(spark, [(i, t, lang, "s") for i, t, lang in rows])).collect()}
+    assert all(got[k]["kept"] for k in range(80))
+    assert not any(got[k]["kept"] for k in (100, 101, 102)) and got[100]["word_divergence"] < 0.47
+
+
 def test_more_languages_than_are_sent(spark, monkeypatch):
     rows = [(k, prose(k, 70), f"l{k % 3}", "s") for k in range(9)]
     want = sorted((r["doc_id"], r["word_divergence"]) for r in quality_divergence.quality_rules(docs(spark, rows)).collect())

@@ -7,6 +7,11 @@ reference of its language by Jensen-Shannon distance (base 2, so 0 to 1); it is
 rejected where a distance is above its limit and the document is long enough
 for the histogram to mean something.
 
+The limit of the word distance depends on the document's length and on how
+common its language's common words are: it lies `margin` of the way from what
+sampling alone gives a text of as many words to the distance of a text without
+any common word, and never above `max_word`.
+
 Common words are looked for among words of at most `word_len` characters, which
 is where function words are and which keeps the number of distinct candidates
 small whatever the corpus; their counts are exact and cover all documents.
@@ -107,6 +112,33 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(min(1.0, max(0.0, d / 2)))
 
 
+def _noise_table() -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of a bin's expected count, and the expected divergence over the bin's share, for Poisson counts."""
+    means = np.geomspace(0.01, 100, 81)
+    k = np.arange(1, 301)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(k))))
+    k = np.arange(301)
+    out = []
+    for m in means:
+        x = k / m
+        f = (np.where(x > 0, x * np.log2(np.maximum(2 * x, 1e-300) / (1 + x)), 0.0) + np.log2(2 / (1 + x))) / 2
+        out.append(float((np.exp(k * np.log(m) - m - logs) * f).sum()))
+    return np.log(means), np.array(out)
+
+
+_NOISE: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def sampling_distance(share: np.ndarray, n: int) -> float:
+    """The distance to expect between a histogram's shares and n draws from it."""
+    if not _NOISE:
+        _NOISE.append(_noise_table())
+    share = share[share > 0]
+    mean = n * share
+    d = np.where(mean > 100, 1 / (8 * math.log(2) * mean), np.interp(np.log(mean), *_NOISE[0]))
+    return math.sqrt(float((share * (1 - share) * d).sum()))
+
+
 def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 64, word_len: int = 4) -> DataFrame:
     """(lang, chars array<long>, words array<struct<word, n>>, n_words long): one row per language, over all rows."""
 
@@ -164,13 +196,21 @@ class _Reference:
         self.chars = np.array(chars, dtype=float)
         self.place = {w["item"]: k for k, w in enumerate(words)}
         self.words = np.array([w["n"] for w in words] + [n_words - sum(w["n"] for w in words)], dtype=float)
+        none = np.zeros(len(self.words))
+        none[-1] = 1.0
+        self.absent = js_distance(none, self.words)  # of a text without common words
+
+    def word_limit(self, n: int, margin: float, most: float) -> float:
+        total = self.words.sum()
+        noise = sampling_distance(self.words / total, n) if total else most
+        return min(most, noise + margin * (self.absent - noise)) if self.absent > noise else most
 
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_divergence double, word_divergence double, kept boolean"
 
 
 def quality_rules(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_char: float = 0.3, max_word: float = 0.47,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_char: float = 0.3, max_word: float = 0.47, margin: float = 0.6,
     min_chars: int = 200, min_words: int = 50, top: int = 64, word_len: int = 4, references: DataFrame | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """A row per document: base counts, base_failed, both divergences, and kept.
@@ -208,7 +248,7 @@ def quality_rules(
                     for w, c in Counter(words).items():
                         h[ref.place.get(w.decode("utf-8", "replace").lower(), rest) if len(w) <= 4 * word_len else rest] += c
                     dw = js_distance(h, ref.words)
-                kept = not failed and not (dc is not None and dc > max_char) and not (dw is not None and dw > max_word)
+                kept = not failed and not (dc is not None and dc > max_char) and not (dw is not None and dw > ref.word_limit(n, margin, max_word))
                 out.append((n, n_chars - int(chars[3]), int(chars[5]), duplicate_lines(text), repeats, failed, dc, dw, kept))
             cols = list(zip(*out, strict=True)) if out else [()] * 9
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
