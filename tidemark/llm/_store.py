@@ -34,8 +34,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send whole texts to Python in batches of at most `rows` rows: ten thousand long texts at once would fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Send whole texts to Python in batches of at most `rows` rows, and no more rows once a batch has `size` bytes: ten thousand long texts at once would fill a worker.
+
+    The session's limits are lowered where they are higher, and stay so.
+    """
+    rows_key, size_key = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows_key)) <= rows:
+        spark.conf.set(rows_key, str(rows))
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size_key)) <= size:
+        spark.conf.set(size_key, str(size))

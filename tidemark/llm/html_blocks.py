@@ -1,25 +1,37 @@
 """HTML main text by flat text blocks and a decision tree (operator 3).
 
 A page is cut into flat blocks of text at block-level tags.  Each block has its
-number of words and its link density, those of its neighbours, and where it
-stands: inside an article, inside a part whose tag or name says menu, footer,
-advert and so on.  A decision tree (CART, Gini) tells main text from the rest;
-it is trained on the small table of labelled blocks in `LABELLED`, each time
-the same way.
-
-Tags may be unclosed or badly nested and pages may be cut off anywhere.
+number of words and its link density, those of the blocks before and after it,
+whether it stands in the page's article, and whether it is a heading or an item.
+Blocks that the page itself marks as something else than its article are out:
+those in a menu, footer, sidebar or form, in a part whose class, id or role says
+so (`BOILER_NAMES`), in a header outside the article, and reader comments, which
+are articles inside an article that has begun.  A decision tree (CART, Gini) over
+words and link densities tells main text from the rest among all other blocks; it
+is trained on the small table of labelled pages in `LABELLED`, each time the same
+way, and never sees tags' names.
+
+A mark that holds the article itself (`<div class="has-sidebar">` around a whole
+page, a form around everything) doesn't count.
+
+Tags may be unclosed or badly nested and pages may be cut off anywhere.  A page is
+read once, from left to right; neither depth nor length costs more than their
+share.
 
 Cases: null and empty pages, and pages without main text, give an empty text;
 repeated rows give a row each; rows with a null id are kept; other columns are
-ignored, whatever their names; an empty table gives an empty result.
+ignored, whatever their names; an empty table gives an empty result; a very long
+page is read whole, and batches of pages are bounded by bytes.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,35 +43,67 @@ from tidemark.llm._store import small_batches
 # HTML's element names by what they mean here.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = frozenset("address article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section table ul li".split())
-SKIPPED = frozenset("script style noscript template textarea iframe svg math select button title canvas audio video object map datalist".split())
+SKIPPED = frozenset("script style noscript template textarea iframe svg select button title canvas map datalist annotation annotation-xml".split())
+RAW = frozenset("script style textarea title".split())
+SPACED = frozenset("br td th img input label option".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 BOILER_NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright discussion disqus feedback footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification alert pager pagination popup popular promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toc toolbar topbar trending warning widget".split()
 )
-MAIN_NAMES = frozenset("article body content entry main post story text".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag: a quoted value may hold '>'; a quote that is never closed is a character like others.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+""")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@dataclass
+class Part:
+    """A container of a page, or a single block whose own tag is named."""
+
+    tag: str
+    above: Part | None
+    boiler: bool  # its tag or a name says that it isn't the article
+    header: bool
+    depth: int
+    blocks_before: int  # blocks when it began
+    words_before: int
+    words: int = 0  # inside it, once it is closed
+    text_before: bool = False  # of an article: has a paragraph of its own been seen?
+    item: bool = False
+    comment: bool = False
+    holds_main: bool = False
+    in_main: bool = False
+    out: bool = False
+
+
 @dataclass
 class Block:
     text: str
     words: int
     linked: int
-    in_article: bool
-    in_boiler_tag: bool
-    named_boiler: list[int]  # containers around it whose names say boilerplate
-    named_main: bool
+    part: Part | None
     heading: bool
-    item: bool
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
+    @property
+    def in_article(self) -> bool:
+        return self.part is not None and self.part.in_main
+
+    @property
+    def marked_out(self) -> bool:
+        return self.part is not None and self.part.out
+
+    @property
+    def item(self) -> bool:
+        return self.part is not None and self.part.item
+
 
 def _names(tag: str) -> frozenset[str]:
     found: set[str] = set()
@@ -68,143 +112,189 @@ def _names(tag: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag that begins at `at` ends; quoted values may hold '>'."""
-    end = page.find(">", at)
-    if end < 0:
-        return len(page)
-    tag = page[at:end]
-    for quote in ('"', "'"):
-        if tag.count(f"={quote}") and tag.count(quote) % 2:
-            close = page.find(quote, end, end + 4096)
-            if close >= 0 and "<" not in page[end:close]:
-                further = page.find(">", close)
-                return len(page) if further < 0 else further
-    return end
-
-
-def blocks_of(page: str) -> tuple[list[Block], dict[int, int]]:
-    """Flat text blocks in page order, and the words inside each named container."""
-    out: list[Block] = []
-    parts: list[str] = []
-    linked: list[str] = []
-    stack: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, number, boilerplate by tag, by name, main by name, a header
-    weight: dict[int, int] = {}
-    number = anchors = named = 0  # named: the number of a block whose own tag has a boilerplate name
-    heading = False
-
-    def close() -> None:
-        text = _SPACE.sub(" ", "".join(parts)).strip()
-        if text:
-            article = max((k for k, s in enumerate(stack) if s[0] in ("article", "main")), default=-1)
-            inner = stack[article + 1 :]
-            words = len(text.split(" "))
-            b = Block(
-                text, words, len("".join(linked).split()), article >= 0,
-                any(s[2] or s[5] and article < 0 for s in inner),
-                [s[1] for s in (inner if article >= 0 else stack) if s[3]] + [named] * bool(named), any(s[4] for s in stack), heading, any(s[0] == "li" for s in stack),
-            )
-            for n_ in [s[1] for s in stack] + [named] * bool(named):
-                weight[n_] = weight.get(n_, 0) + words
-            out.append(b)
-        parts.clear()
-        linked.clear()
-
-    at, n = 0, len(page)
-    while at < n:
-        lt = page.find("<", at)
-        text = page[at : lt if lt >= 0 else n]
+class _Reader:
+    """Reads a page into blocks and the parts they stand in."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.blocks: list[Block] = []
+        self.parts: list[Part] = []  # in order of their beginnings
+        self.stack: list[Part] = []
+        self.open_: Counter[str] = Counter()  # tags on the stack
+        self.articles: list[Part] = []  # articles on the stack
+        self.total = 0
+        self.text: list[str] = []
+        self.linked: list[str] = []
+        self.link_end = -1  # a link lasts until here, and beyond blocks
+        self.in_link = False
+        self.heading = False
+        self.single: Part | None = None  # a named block that is no container
+
+    def read(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        anchors = [(m.start(), not m[1]) for m in _ANCHOR.finditer(page)]
+        closed = {a: b for (a, opens), (b, again) in zip(anchors, anchors[1:], strict=False) if opens and not again}
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                self.say(page[at:])
+                break
+            if lt > at:
+                self.say(page[at:lt])
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+                continue
+            after = page[lt + 1 : lt + 2]
+            closing = after == "/"
+            m = None if after in ("!", "?") else _NAME.match(page, lt + 1 + closing)
+            if m is None:
+                if closing or after in ("!", "?"):
+                    end = page.find(">", lt)
+                    at = n if end < 0 else end + 1
+                else:
+                    self.say("<", decode=False)
+                    at = lt + 1
+                continue
+            end = _REST.match(page, m.end()).end()
+            at = end + 1
+            name = m[0].lower()
+            if name in SKIPPED:
+                self.text.append(" ")
+                if not closing and page[end - 1] != "/":
+                    over = _closer(name).search(page, at)
+                    if over:
+                        at = page.find(">", over.start()) + 1 or n
+                    elif name in RAW:
+                        at = n
+            elif name == "a":
+                self.linked.append(" ")
+                self.in_link = not closing
+                self.link_end = -1 if closing else closed.get(lt, -1)
+            elif name in BLOCK:
+                self.block_tag(name, page[lt:end], closing)
+            elif name in SPACED:
+                self.text.append(" ")
+        self.close_block()
+        while self.stack:
+            self.pop()
+
+    def say(self, text: str, decode: bool = True) -> None:
+        if decode and "&" in text:
+            text = html_lib.unescape(text)
+        self.text.append(text)
+        if self.in_link:
+            self.linked.append(text)
+
+    def close_block(self) -> None:
+        text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            text = html_lib.unescape(text) if "&" in text else text
-            parts.append(text)
-            if anchors:
-                linked.append(text)
-        if lt < 0:
-            break
-        if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
-        nxt = page[lt + 1 : lt + 2]
-        if nxt in ("!", "?"):
-            end = page.find(">", lt)
-            at = n if end < 0 else end + 1
-            continue
-        closing = nxt == "/"
-        m = _NAME.match(page, lt + 1 + closing)
-        if not m:
-            if closing:
-                end = page.find(">", lt)
-                at = n if end < 0 else end + 1
-            else:
-                parts.append("<")
-                if anchors:
-                    linked.append("<")
-                at = lt + 1
-            continue
-        name, end = m[0].lower(), _tag_end(page, lt)
-        at = end + 1
-        if name in SKIPPED:
-            parts.append(" ")
-            if not closing and not page[lt:end].endswith("/"):
-                over = re.compile(rf"</{name}\b", re.IGNORECASE).search(page, at)
-                if over:
-                    at = page.find(">", over.start()) + 1 or n
-                elif name in ("script", "style", "textarea", "title"):
-                    at = n
-            continue
-        if name == "a":
-            anchors = 0 if closing else 1
-            linked.append(" ")
-        elif name in ("br", "td", "th", "img", "input", "label", "option", "wbr"):
-            parts.append("" if name == "wbr" else " ")
-        if name not in BLOCK:
-            continue
-        close()
-        anchors = 0
+            part = self.single or (self.stack[-1] if self.stack else None)
+            words = text.count(" ") + 1
+            self.blocks.append(Block(text, words, len("".join(self.linked).split()), part, self.heading))
+            self.total += words
+            if self.articles and not self.heading and part.depth >= self.articles[-1].depth:
+                self.articles[-1].text_before = True
+        self.text.clear()
+        self.linked.clear()
+
+    def block_tag(self, name: str, tag: str, closing: bool) -> None:
+        self.close_block()
+        if self.link_end < 0:  # a link that isn't closed ends with its block
+            self.in_link = False
         if name[0] == "h" and name[1:].isdigit():
-            heading = not closing
+            self.heading = not closing
         elif name != "p" or not closing:
-            heading = False
-        named = 0
-        if name not in CONTAINER:
-            if not closing and end - lt > len(name) + 1 and _names(page[lt:end]) & BOILER_NAMES:
-                number += 1
-                named = number
-            continue
+            self.heading = False
+        if self.single is not None:
+            self.single.words = self.total - self.single.words_before
+            self.single = None
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif not page[lt:end].endswith("/"):
-            if name == "li" and stack and stack[-1][0] == "li":  # an item ends the one before it
-                stack.pop()
-            number += 1
-            names = _names(page[lt:end])
-            boiler = names & BOILER_NAMES
-            # an article's own header is part of it, a page's is not
-            stack.append((name, number, name in BOILER_TAGS, bool(boiler - {"header"}), bool(names & MAIN_NAMES), name == "header" or "header" in boiler))
-    close()
-    return out, weight
-
-
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "boiler_tag", "boiler_name", "main_name", "heading", "item")
+            if name in CONTAINER and self.open_[name]:
+                while self.pop() != name:
+                    pass
+            return
+        names = _names(tag) if " " in tag or "\n" in tag or "\t" in tag else frozenset()
+        if name not in CONTAINER:
+            if names & BOILER_NAMES:
+                self.single = self.begin(name, names)
+        elif not tag.endswith("/"):
+            if name == "li" and self.stack and self.stack[-1].tag == "li":  # an item ends the one before it
+                self.pop()
+            self.stack.append(self.begin(name, names))
+            self.open_[name] += 1
+            if name == "article":
+                self.articles.append(self.stack[-1])
+
+    def begin(self, name: str, names: frozenset[str]) -> Part:
+        above = self.stack[-1] if self.stack else None
+        said = names & BOILER_NAMES
+        part = Part(name, above, name in BOILER_TAGS or bool(said - {"header"}), name == "header" or "header" in said, len(self.stack) + 1, len(self.blocks), self.total)
+        part.item = name == "li" or above is not None and above.item
+        # an article inside one that has begun is a reader's comment
+        part.comment = name == "article" and any(a.text_before for a in self.articles[-1:])
+        self.parts.append(part)
+        return part
+
+    def pop(self) -> str:
+        part = self.stack.pop()
+        self.open_[part.tag] -= 1
+        part.words = self.total - part.words_before
+        if self.articles and self.articles[-1] is part:
+            self.articles.pop()
+        return part.tag
+
+
+@lru_cache(maxsize=64)
+def _closer(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b", re.IGNORECASE)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Flat text blocks in page order, with the parts that they stand in."""
+    reader = _Reader(page)
+    reader.read()
+    # the article: a main or article part that no mark is around; where there is none, the longest of all (else all that
+    # holds a first heading or most of the page) makes the marks around it void
+    marked: dict[int, bool] = {}
+    clean, any_ = [], []
+    for p in reader.parts:
+        marked[id(p)] = p.boiler or p.comment or p.above is not None and marked[id(p.above)]
+        if p.tag in ("main", "article") and p.words and not p.comment and not p.boiler:
+            any_.append(p)
+            if not marked[id(p)]:
+                clean.append(p)
+    mains = clean
+    if not clean and any_:
+        best = max(any_, key=lambda p: (p.words, -p.words_before))
+        if 2 * best.words > reader.total:
+            mains = [best]
+    for p in mains:
+        p.in_main = True
+    if not clean:
+        holds = mains[0] if mains else next((b.part for b in reader.blocks if b.heading), None)
+        while holds is not None:
+            if mains or 10 * holds.words > 6 * reader.total:
+                holds.holds_main = True
+            holds = holds.above
+    for p in reader.parts:
+        up = p.above
+        p.in_main = p.in_main or up is not None and up.in_main
+        said = p.boiler and not p.holds_main and not (not mains and 10 * p.words > 6 * reader.total)
+        # an article's own header is part of it, a page's is not
+        p.out = said or p.comment or p.header and not p.in_main and not p.holds_main or up is not None and up.out
+    return reader.blocks
+
+
+#: What the tree looks at. Names of tags, classes and ids are not among it.
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "heading", "item")
 
 
 def features_of(page: str) -> tuple[list[Block], list[tuple[float, ...]]]:
-    blocks, weight = blocks_of(page)
-    total = sum(b.words for b in blocks)
-    out = []
-    for k, b in enumerate(blocks):
-        p, q = (blocks[k - 1] if k else None), (blocks[k + 1] if k + 1 < len(blocks) else None)
-        # a name counts only where its part is the lesser part of the page: "has-sidebar" may name the whole
-        named = any(weight[c] <= 0.6 * total for c in b.named_boiler)
-        out.append((
-            float(b.words), b.density, float(p.words if p else 0), p.density if p else 1.0, float(q.words if q else 0), q.density if q else 1.0,
-            float(b.in_article), float(b.in_boiler_tag), float(named), float(b.named_main), float(b.heading), float(b.item),
-        ))
-    return blocks, out
+    blocks = blocks_of(page)
+    size = [(float(b.words), b.density) for b in blocks]
+    around = [(0.0, 1.0), *size, (0.0, 1.0)]  # beyond the ends: as a link without words
+    return blocks, [(*around[k + 1], *around[k], *around[k + 2], float(b.in_article), float(b.heading), float(b.item)) for k, b in enumerate(blocks)]
 
 
 # The labelled table: blocks of made-up pages; a text that starts with "+" is main text.
@@ -222,6 +312,10 @@ LABELLED = (
     '<body><p>+{W}</p><p>+{W}</p><p>+{W}</p><p><a href=x>-Back</a></p></body>',
     '<p><a href=x>-Top</a> <a href=x>-Index</a></p><div>+{W}</div><div>+{W}</div><div>+Not many words in this one, but among long ones.</div><div>+{W}</div><div>-Contact us</div>',
     '<p>+{W}</p><p>+{W}</p><p>+{W}</p><p>+{W}</p>',
+    '<h1>+A heading first</h1><p>+{W}</p><p>+{W}</p><h2>+Part</h2><p>+{W}</p><p><a href=x>-More</a> <a href=x>-Older</a></p><p>-Terms of use</p>',
+    '<div><h1>+Start</h1><p>+{W}</p><p>+Few words here, then more.</p><p>+{W}</p></div><div><a href=x>-Next</a> | <a href=x>Last</a></div><div>-Made by someone</div>',
+    '<div><a href=x>-Home</a> <a href=x>Shop</a></div><table><tr><td><h2>+Headline of it</h2><p>+{W}</p><p>+Said someone.</p><p>+{W}</p></td></tr></table><div><a href=x>-Write to us</a></div>',
+    '<div>-Welcome, guest</div><div><a href=x>-Log in</a></div><h1>+The story</h1><div>+{W}</div><h3>+Its end</h3><div>+{W}</div><div>-Seen 12 times</div><div><a href=x>-Back to top</a></div>',
     '<nav><a href=x>-Home</a></nav><article><h1>+Cut off</h1><p>+{W}<p><a href=x>+A link alone</a><p>+Few words at the end',
     '<article><h1>+Lone</h1><p><a href=x>+Only a link</a></p><p>+End</p></article>',
     '<main><p>+{W}</p><p><a href=x>+See this page</a></p><p>+Last.</p></main>',
@@ -233,6 +327,7 @@ LABELLED = (
 
 
 def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the table's blocks, but for those that the page marks as something else."""
     x, y = [], []
     for page in LABELLED:
         runs = page.split("{W}")
@@ -241,8 +336,8 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
             for k, rest in enumerate(runs[1:]):
                 made += ["word " * LENGTHS[(shift + 3 * k) % len(LENGTHS)], rest]
             blocks, features = features_of("".join(made))
-            x += features
-            y += [b.text.startswith("+") for b in blocks]
+            x += [f for f, b in zip(features, blocks, strict=True) if not b.marked_out]
+            y += [b.text.startswith("+") for b in blocks if not b.marked_out]
     return np.array(x), np.array(y)
 
 
@@ -278,7 +373,7 @@ def classify(tree, features: tuple[float, ...]) -> bool:
 def main_text(page: str, tree) -> tuple[str, int, int]:
     """Main text of a page, its number of blocks, and the number of all blocks."""
     blocks, features = features_of(page)
-    kept = [b.text for b, f in zip(blocks, features, strict=True) if classify(tree, f)]
+    kept = [b.text for b, f in zip(blocks, features, strict=True) if not b.marked_out and classify(tree, f)]
     return "\n\n".join(kept), len(kept), len(blocks)
 
 
