@@ -339,17 +339,71 @@ def test_targets_and_missing_sources(spark):
 # 8: decontamination
 
 
-def test_substitutions_are_tolerated(spark):
+def test_substitutions_are_tolerated(spark, monkeypatch):
     item = prose(1, 30).split()
     changed = [w if k % 7 else "other" for k, w in enumerate(item)]
     rows = [(1, prose(2, 50) + " " + " ".join(item) + " " + prose(3, 50)), (2, " ".join(changed) + " " + prose(4, 20)), (3, prose(5, 200)), (4, None), (5, ""), (6, " ".join(w.upper() + "," for w in item)), (7, " ".join(item[:8])), (8, "seven small words stand here for you")]
-    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, None), (3, "too short"), (4, "Seven small words stand here for you")], "item_id long, text string")
-    got = {r["doc_id"]: r for r in spaced_seeds.decontaminate(docs(spark, rows), bench).collect()}
-    assert [got[k]["contaminated"] for k in range(1, 9)] == [True, True, False, False, False, True, False, True]
-    assert got[1]["n_items"] == 1 and got[1]["best_match"] == 30
-    blocks = {r["doc_id"]: r["contaminated"] for r in spaced_seeds.decontaminate(docs(spark, rows), bench, block_tokens=20).collect()}
-    assert blocks == {k: r["contaminated"] for k, r in got.items()}
+    rows += [(9, "too short"), (10, "this is too short"), (11, "a b nine words of which one may be another c"), (12, "a b nine words of which one must be another c"), (None, " ".join(item)), (1, rows[0][1]), (13, prose(6, 30_000) + " " + " ".join(changed))]
+    bench = spark.createDataFrame([(1, " ".join(item), 5), (1, " ".join(item), 6), (2, None, 5), (3, "too short", 5), (4, "Seven small words stand here for you", 5), (5, "nine words of which one may be another", None), (6, "", 1), (None, "too short", 1)], "item_id long, text string, k1 long")
+    got = spaced_seeds.decontaminate(docs(spark, rows), bench).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    assert [by_id[k]["contaminated"] for k in range(1, 14)] == [True, True, False, False, False, True, False, True, True, False, True, True, True] and by_id[None]["contaminated"]
+    assert by_id[1]["n_items"] == 1 and by_id[1]["best_match"] == 30 and by_id[12]["best_match"] == 7
+    assert [h["item"] for h in by_id[9]["hits"]] == [3, None]
+    monkeypatch.setattr(spaced_seeds, "MAX_SENT_SEEDS", 1)
+    monkeypatch.setattr(spaced_seeds, "MAX_SENT_BYTES", 1)
+    assert sorted(map(str, spaced_seeds.decontaminate(docs(spark, rows), bench).collect())) == sorted(map(str, got))
     assert not any(r["contaminated"] for r in spaced_seeds.decontaminate(docs(spark, rows), bench.limit(0)).collect())
+    assert spaced_seeds.decontaminate(docs(spark, []), bench).collect() == []
+
+
+def test_overlaps_equal_brute_force(spark):
+    """Each document against each item on every diagonal, on documents with planted passages."""
+    r = np.random.default_rng(5)
+    items = [prose(100 + k, n, 60).split() for k, n in enumerate((3, 5, 7, 8, 9, 11, 12, 15, 16, 20, 24, 25, 30, 40, 59))]
+    rows = []
+    for k in range(90):
+        mine = list(items[k % len(items)])
+        if k < 60:
+            for at in r.choice(len(mine), int(len(mine) * r.choice([0, 0.1, 0.2, 0.3])), replace=False):
+                mine[at] = f"new{at}"
+        else:
+            mine = mine[: len(mine) // 2]
+        rows.append((k, " ".join([*prose(k, int(r.integers(0, 60)), 60).split(), *mine, *prose(1000 + k, int(r.integers(0, 60)), 60).split()])))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {x["doc_id"]: {h["item"] for h in x["hits"]} for x in spaced_seeds.decontaminate(docs(spark, rows), bench).collect()}
+    tokens = spaced_seeds.Tokens()
+    known = [tokens(" ".join(x).encode()) for x in items]
+    want, n = {}, 0
+    for i, text in rows:
+        doc = tokens(text.encode())
+        want[i] = {k for k, item in enumerate(known) if any(spaced_seeds.contaminating(doc, item, d) for d in range(-len(item) + 1, len(doc)))}
+        n += len(want[i])
+        assert got[i] <= want[i]
+    assert n > 40 and sum(len(x) for x in got.values()) >= 0.95 * n
+
+
+@pytest.mark.parametrize(("n", "replaced"), [(8, 1), (9, 2), (11, 2), (12, 3), (15, 3), (16, 4), (20, 5), (24, 6), (30, 6), (40, 10), (59, 14)])
+def test_recall_of_seeds(n, replaced):
+    """Of overlaps that contaminate, at least 0.9 have a hit on their diagonal."""
+    r, hit, all_ = np.random.default_rng(n), 0, 0
+    for _ in range(400):
+        item = r.integers(0, 1 << 60, n).astype(np.uint64)
+        doc = item.copy()
+        doc[r.choice(n, replaced, replace=False)] += np.uint64(1)
+        if spaced_seeds.contaminating(doc, item, 0):
+            all_ += 1
+            hit += any((spaced_seeds.masked(doc, m, w) == spaced_seeds.masked(item, m, w)).any() for w, m in spaced_seeds.kinds(n))
+    assert all_ > 100 and hit >= 0.9 * all_
+
+
+def test_filter_lets_all_known_pass(spark):
+    r = np.random.default_rng(0)
+    known = r.integers(-(1 << 63), 1 << 63, 5000)
+    may = spaced_seeds.filter_of(spark.createDataFrame([(int(h),) for h in known], "hash long"), 5000)
+    assert len(may(known.view(np.uint64))) == 5000
+    assert len(may(r.integers(0, 1 << 63, 100_000).astype(np.uint64))) < 1000
 
 
 # 9: near duplicates

@@ -1,28 +1,40 @@
 """Benchmark decontamination by spaced seeds (operator 8).
 
-A mask is a pattern over `SPAN` tokens that reads some positions and skips the
+A mask is a pattern over some tokens that reads some positions and skips the
 others.  The tokens a mask reads are hashed at each position of the benchmark
 items and of the documents; equal hashes are hits, even where tokens at skipped
 positions were replaced.  Around each hit the item and the document are laid
 side by side on the hit's diagonal, and the best segment (1 for an equal token,
--2 for another) is the verified overlap.  A document is contaminated if an
-overlap has at least `min_match` equal tokens (all of a shorter item) with at
-least `min_identity` of its positions equal.  Items shorter than a mask are
-looked for as a whole.
+-2 for another) is the verified overlap.
 
-The benchmark goes to the tasks in blocks of at most `block_tokens` tokens, one
-pass over the documents for each block, so what is sent has a bound and no text
-is shuffled.
+Which seeds an item has, and what contaminates, follows from its length:
 
-Cases: null and empty texts are clean; items without `min_tokens` tokens match
+* from 12 tokens: `MASKS`; a segment with at least `min_match` equal tokens, at
+  least `min_identity` of its positions equal;
+* 8 to 24 tokens: `LIGHT` masks too; also the item as a whole, with at least
+  `min_identity` of its tokens (and 7) equal;
+* 5 to 7 tokens: a seed of five tokens in a row; all tokens equal.  One
+  replaced token would leave no more evidence than common phrases have;
+* below 5 tokens: a document that has these tokens and no others.
+
+Hits come from a join of hashes.  A Bloom filter of the benchmark's hashes, of at
+most `MOST_BITS` bits however large the benchmark is, goes to the tasks first, so
+only positions that it lets pass are joined; the join decides.  Benchmark tables
+are broadcast where they are counted as small and joined salted otherwise, so a
+passage in a third of all documents is dealt to `SALTS` tasks.  What a document
+may overlap with (items' tokens and diagonals) then meets the document.  Nothing
+is gathered on the driver but the filter's words.
+
+Cases: null and empty texts are clean; null items and items without tokens match
 nothing; repeated items give the same item id once; repeated rows are judged
 each; rows with a null id are kept; other columns are carried along only if
 named; empty tables give empty results, and an empty benchmark none that is
-contaminated.
+contaminated; very long texts are read whole, in batches bounded by bytes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +44,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._chunks import mix, powers
-from tidemark.llm._store import small_batches
+from tidemark.llm._store import small_batches, stored
 
-#: Fixed masks: eight of twelve positions.
+#: Fixed masks: eight of twelve positions; five of at most eight.
 MASKS = ("110110110101", "111010011011", "101101110011", "110011010111")
-SPAN = 12
-MIN_TOKENS, MIN_MATCH, MIN_IDENTITY = 5, 12, 0.75
-BLOCK_TOKENS = 500_000
+LIGHT = ("110111", "1111001", "11001011", "10001111")
+PLAIN = "11111"
+#: Item lengths from which each kind of seed is used, and the equal tokens that a short item needs at least.
+WHOLE, SHORT, HEAVY, LONG, LEAST_SHORT = 5, 8, 12, 25, 7
+MIN_MATCH, MIN_IDENTITY = 12, 0.75
+MOST_BITS = 28
+#: Seeds of the benchmark, and bytes of a table of candidates, that are broadcast; more are joined by a shuffle.
+MAX_SENT_SEEDS, MAX_SENT_BYTES = 200_000, 8 << 20
+SALTS = 16
 _STRIP = b".,;:!?\"'()[]{}<>-_*#&$%|/\\"
 
 
@@ -79,54 +97,26 @@ def masked(tokens: np.ndarray, mask: str, which: int) -> np.ndarray:
     return mix(out)
 
 
-class Index:
-    """Hashes of a block of benchmark items."""
+def whole(tokens: np.ndarray) -> np.ndarray:
+    """The hash of a text of fewer than `WHOLE` tokens."""
+    return masked(tokens, "1" * len(tokens), 100 + len(tokens)) if 0 < len(tokens) < WHOLE else np.zeros(0, dtype=np.uint64)
+
+
+def kinds(n: int) -> list[tuple[int, str]]:
+    """Numbers and masks of the seeds of an item of n tokens (from `WHOLE` on)."""
+    out = list(enumerate(MASKS)) if n >= HEAVY else []
+    if SHORT <= n < LONG:
+        out += [(10 + k, m) for k, m in enumerate(LIGHT)]
+    return out or [(20, PLAIN)]
 
-    def __init__(self, items: list[tuple[object, bytes]], min_tokens: int = MIN_TOKENS):
-        tokens = Tokens()
-        self.ids, self.tokens = [], []
-        keys, item, pos = [], [], []
-        self.short: dict[int, dict[int, list[int]]] = {}
-        for name, text in items:
-            t = tokens(text)
-            if len(t) < min_tokens:
-                continue
-            k = len(self.ids)
-            self.ids.append(name)
-            self.tokens.append(t)
-            if len(t) < SPAN:
-                self.short.setdefault(len(t), {}).setdefault(int(masked(t, "1" * len(t), 99)[0]), []).append(k)
-                continue
-            for which, mask in enumerate(MASKS):
-                h = masked(t, mask, which)
-                keys.append(h)
-                item.append(np.full(len(h), k))
-                pos.append(np.arange(len(h)))
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys = self.keys[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, dtype=np.int64)
-        self.pos = np.concatenate(pos)[order] if pos else np.zeros(0, dtype=np.int64)
-        self.seen = np.zeros(1 << 22, dtype=bool)
-        self.seen[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def diagonals(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(item, document position minus item position) of each hit."""
-        found: set[tuple[int, int]] = set()
-        for which, mask in enumerate(MASKS):
-            h = masked(doc, mask, which)
-            if not len(self.keys) or not len(h):
-                continue
-            at = np.flatnonzero(self.seen[(h >> np.uint64(42)).astype(np.int64)])
-            if len(at):
-                lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-                for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                    found.update(zip(self.item[a:b].tolist(), (p - self.pos[a:b]).tolist(), strict=True))
-        for n, known in self.short.items():
-            h = masked(doc, "1" * n, 99)
-            for p in np.flatnonzero(np.isin(h, np.array(list(known), dtype=np.uint64))).tolist():
-                found.update((k, p) for k in known[int(h[p])])
-        return found
+
+def seeds_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of an item's seeds and where they are."""
+    if len(tokens) < WHOLE:
+        h = whole(tokens)
+        return h, np.zeros(len(h), dtype=np.int64)
+    got = [masked(tokens, mask, which) for which, mask in kinds(len(tokens))]
+    return np.concatenate(got), np.concatenate([np.arange(len(h)) for h in got])
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
@@ -140,55 +130,192 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return int(equal[start:end].sum()), end - start, lo + diagonal + start, lo + start
 
 
+def contaminating(doc: np.ndarray, item: np.ndarray, diagonal: int, min_match: int = MIN_MATCH, min_identity: float = MIN_IDENTITY) -> tuple[int, int, int, int] | None:
+    """The overlap on a diagonal (as `overlap` gives it) if it contaminates."""
+    n = len(item)
+    lo, hi = max(0, -diagonal), min(n, len(doc) - diagonal)
+    if hi <= lo:
+        return None
+    if n >= HEAVY:
+        got = overlap(doc, item, diagonal)
+        if got[0] >= min_match and got[0] >= min_identity * got[1]:
+            return got
+    if n >= LONG:
+        return None
+    equal = int((doc[lo + diagonal : hi + diagonal] == item[lo:hi]).sum())
+    if n < WHOLE:
+        enough = equal == n == len(doc)
+    elif n < SHORT:
+        enough = equal == n
+    else:
+        enough = equal >= max(LEAST_SHORT, math.ceil(min_identity * n))
+    return (equal, n, lo + diagonal, lo) if enough else None
+
+
+class Filter:
+    """A Bloom filter over 64-bit hashes: three bits each."""
+
+    SHIFTS = (36, 18, 0)
+
+    def __init__(self, bits: int, words: np.ndarray, values: np.ndarray):
+        self.bits = bits
+        table = np.zeros(1 << max(0, bits - 6), dtype=np.uint64)
+        table[words] = values
+        self.table = table.view(np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Positions whose hash may be known."""
+        at = np.arange(len(h))
+        for shift in self.SHIFTS:
+            bit = ((h[at] >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            at = at[(self.table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+        return at
+
+
+def filter_of(seeds: DataFrame, n: int) -> Filter:
+    """The filter of a seeds table with n rows: 32 to 64 bits a seed, 2**MOST_BITS at most."""
+    bits = min(MOST_BITS, max(10, (32 * n).bit_length()))
+    places = [F.shiftrightunsigned("hash", shift).bitwiseAND(F.lit((1 << bits) - 1)) for shift in Filter.SHIFTS]
+    each = seeds.select(F.explode(F.array(*places)).alias("bit"))
+    words = each.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("value")).toArrow()
+    return Filter(bits, words.column("word").to_numpy(), words.column("value").to_numpy().view(np.uint64))
+
+
 _HITS = "array<struct<item:{item},matched:int,length:int,doc_start:int,item_start:int>>"
 
 
+def _keys(*columns: str) -> list:
+    """128 bits of what a row says, as two numbers."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit(7), *reversed(columns))]
+
+
+def _seed_tables(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(i1, i2, item, tokens) of each distinct item, and (i1, i2, n, pos, hash) of their seeds."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text IS NOT NULL")
+    i1, i2 = _keys("item", "text")
+    items = items.select(i1.alias("i1"), i2.alias("i2"), "item", "text").dropDuplicates(["i1", "i2"])
+    kind = items.schema["item"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            got = [tokens(t).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("i1", "i2", "item")] + [pa.array(got, pa.binary())], ["i1", "i2", "item", "tokens"])
+
+    items = stored(items.mapInArrow(read, f"i1 long, i2 long, item {kind}, tokens binary"), "items")
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, pos, n, take = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for k, raw in enumerate(batch.column("tokens").to_pylist()):
+                t = np.frombuffer(raw, dtype=np.uint64)
+                a, b = seeds_of(t)
+                h.append(a)
+                pos.append(b)
+                n.append(np.full(len(a), len(t)))
+                take.append(np.full(len(a), k))
+            rows = pa.array(np.concatenate(take))
+            yield pa.RecordBatch.from_arrays([batch.column("i1").take(rows), batch.column("i2").take(rows), *(pa.array(np.concatenate(x)) for x in (n, pos)), pa.array(np.concatenate(h).view(np.int64))], ["i1", "i2", "n", "pos", "hash"])
+
+    return items, stored(items.select("i1", "i2", "tokens").mapInArrow(seed, "i1 long, i2 long, n long, pos long, hash long"), "seeds")
+
+
+def _positions(docs: DataFrame, known: Filter, lengths: set[str]) -> DataFrame:
+    """(k1, k2, pos, hash) for each seed of a document (k1, k2, text) that the filter lets pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    masks = (list(enumerate(MASKS)) if "heavy" in lengths else []) + ([(10 + k, m) for k, m in enumerate(LIGHT)] if "light" in lengths else []) + ([(20, PLAIN)] if "plain" in lengths else [])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may, tokens = sent.value, Tokens()
+        for batch in batches:
+            got = [tokens(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(t) for t in got], dtype=np.int64)
+            every = np.concatenate([np.zeros(0, dtype=np.uint64), *got])
+            doc = np.repeat(np.arange(len(got)), sizes)
+            start = np.cumsum(sizes) - sizes
+            rows, pos, hashes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+            for which, mask in masks:  # over all documents of the batch at once, but not across their borders
+                h = masked(every, mask, which)
+                at = may(h)
+                at = at[doc[at] == doc[at + len(mask) - 1]]
+                rows.append(doc[at])
+                pos.append(at - start[doc[at]])
+                hashes.append(h[at])
+            if "whole" in lengths:
+                for k in np.flatnonzero((sizes > 0) & (sizes < WHOLE)).tolist():
+                    rows.append(np.array([k]))
+                    pos.append(np.zeros(1, dtype=np.int64))
+                    hashes.append(whole(got[k]))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(take), batch.column("k2").take(take), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hashes).view(np.int64))], ["k1", "k2", "pos", "hash"])
+
+    return docs.mapInArrow(search, "k1 long, k2 long, pos long, hash long")
+
+
+def _joined(rows: DataFrame, table: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """rows and the benchmark's table by equal columns; salted by the document if the table isn't small."""
+    if small:
+        return rows.join(F.broadcast(table), on)
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(table, [*on, "salt"]).drop("salt")
+
+
 def decontaminate(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, min_match: int = MIN_MATCH,
-    min_identity: float = MIN_IDENTITY, min_tokens: int = MIN_TOKENS, block_tokens: int = BLOCK_TOKENS, keep: tuple[str, ...] = (),
+    min_identity: float = MIN_IDENTITY, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """(id, keep..., contaminated, n_items, best_match, hits) for each row; hits: the best overlap with each item found."""
     spark = df.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    size = items.agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_tokens))
-    item_type = items.schema["item"].dataType
-    cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep))]
-    docs = df.select(*cols).withColumn("hits", F.array().cast(_HITS.format(item=item_type.simpleString())))
-    names = docs.columns
-    schema = docs.schema
-    for block in range(blocks):
-        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        rows = sorted(((r["item"], (r["text"] or "").encode("utf-8", "replace")) for r in mine.collect()), key=lambda r: (str(r[0]), r[1]))
-        sent = spark.sparkContext.broadcast(rows)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index, tokens = Index(sent.value, min_tokens), Tokens()
-            for batch in batches:
-                column = batch.column("hits")
-                out = []
-                for text, before in zip(batch.column("text").cast(pa.binary()).to_pylist(), column.to_pylist(), strict=True):
-                    doc, best = tokens(text), {}
-                    for k, d in sorted(index.diagonals(doc)):
-                        matched, length, at, item_at = overlap(doc, index.tokens[k], d)
-                        if matched >= min(min_match, len(index.tokens[k])) and matched >= min_identity * length:
-                            got = {"item": index.ids[k], "matched": matched, "length": length, "doc_start": at, "item_start": item_at}
-                            if k not in best or matched > best[k]["matched"]:
-                                best[k] = got
-                    known = {h["item"] for h in before}
-                    for k in sorted(best, key=lambda k: (str(index.ids[k]), -best[k]["matched"])):
-                        if index.ids[k] not in known:
-                            known.add(index.ids[k])
-                            before = [*before, best[k]]
-                    out.append(before)
-                arrays = [pa.array(out, column.type) if n == "hits" else batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays(arrays, names)
-
-        docs = docs.mapInArrow(search, schema)
+    items, seeds = _seed_tables(benchmark, item_col, item_text_col)
+    n_seeds, heavy, light, plain, tiny = seeds.agg(
+        F.count("*"), F.max(F.col("n") >= HEAVY), F.max((F.col("n") >= SHORT) & (F.col("n") < LONG)), F.max((F.col("n") >= WHOLE) & (F.col("n") < SHORT)), F.max(F.col("n") < WHOLE)
+    ).first()
+    k1, k2 = _keys("id", "text")
+    cols = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"k_{k}") for k, c in enumerate(keep))]
+    docs = df.select(*cols).withColumns({"k1": k1, "k2": k2})
+    used = {name for name, is_used in (("heavy", heavy), ("light", light), ("plain", plain), ("whole", tiny)) if is_used}
+    found = _positions(docs.select("k1", "k2", "text"), filter_of(seeds, n_seeds), used)
+    small = n_seeds <= MAX_SENT_SEEDS
+    hits = _joined(found, seeds.select("hash", "i1", "i2", F.col("pos").alias("at")), ["hash"], small)
+    # rows that are equal give equal hits, and neighbouring seeds the same diagonal
+    lanes = hits.select("k1", "k2", "i1", "i2", (F.col("pos") - F.col("at")).cast("int").alias("diagonal")).distinct()
+    near = lanes.groupBy("k1", "k2", "i1", "i2").agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"))
+    near = _joined(near, items, ["i1", "i2"], small).groupBy("k1", "k2").agg(F.collect_list(F.struct("item", "tokens", "diagonals")).alias("near"))
+    near = stored(near, "candidates").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "near")
+    size = near.agg(F.sum(F.aggregate("near", F.lit(0).cast("long"), lambda t, x: t + F.length(x["tokens"]) + 4 * F.size(x["diagonals"]) + 64) + 64)).first()[0] or 0
+    rows = docs.join(F.broadcast(near) if size <= MAX_SENT_BYTES else near, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2")), "left")
+    names = ["id", *(f"k_{k}" for k in range(len(keep)))]
+    hit_type = _HITS.format(item=items.schema["item"].dataType.simpleString())
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow_hits = to_arrow_type(_parse_datatype_string(hit_type))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            out: list[list[dict]] = []
+            texts, beside = batch.column("text").cast(pa.binary()), batch.column("near")
+            for k, is_near in enumerate(beside.is_valid().to_pylist()):
+                best: dict = {}
+                if is_near:
+                    doc = tokens(texts[k].as_py())
+                    for x in beside[k].as_py():
+                        item = np.frombuffer(x["tokens"], dtype=np.uint64)
+                        for diagonal in x["diagonals"]:
+                            got = contaminating(doc, item, diagonal, min_match, min_identity)
+                            if got is not None and (x["item"] not in best or (-got[0], *got[1:]) < (-best[x["item"]][0], *best[x["item"]][1:])):
+                                best[x["item"]] = got
+                out.append([dict(zip(("item", "matched", "length", "doc_start", "item_start"), (i, *best[i]), strict=True)) for i in sorted(best, key=lambda i: (i is None, i))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, arrow_hits)], [*names, "hits"])
+
+    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), f"hits {hit_type}"])
+    judged = rows.select(*names, "text", "near").mapInArrow(verify, schema)
     n = F.size("hits").cast("long")
     best = F.coalesce(F.array_max(F.transform("hits", lambda h: h["matched"])), F.lit(0)).cast("long")
-    return docs.select(F.col("id").alias(id_col), *(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), (n > 0).alias("contaminated"), n.alias("n_items"), best.alias("best_match"), "hits")
+    return judged.select(F.col("id").alias(id_col), *(F.col(f"k_{k}").alias(c) for k, c in enumerate(keep)), (n > 0).alias("contaminated"), n.alias("n_items"), best.alias("best_match"), "hits")
 
 
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
