@@ -519,11 +519,53 @@ def test_long_texts_without_common_words_go_and_short_clean_ones_stay(spark):
         return " ".join(f"{common}{'abcdefghij'[r.integers(10)]}" if r.random() < 0.32 else "".join(chr(97 + x) for x in r.integers(26, size=7)) for _ in range(n))
 
     rows = [(k, text(k, 60 if k % 2 else 600, "th"), "en") for k in range(80)] + [(100 + k, text(100 + k, 600, "quonk"), "en") for k in range(3)]
-    got = {r["doc_id"]: r for r in quality_divergence.quality_rules(docs(spark, [(i, t, lang, "s") for i, t, lang in rows])).collect()}
+    # the corpus has ten common words; with more asked for, those of the odd texts would be among them
+    got = {r["doc_id"]: r for r in quality_divergence.quality_rules(docs(spark, [(i, t, lang, "s") for i, t, lang in rows]), top=10).collect()}
     assert all(got[k]["kept"] for k in range(80))
     assert not any(got[k]["kept"] for k in (100, 101, 102)) and got[100]["word_divergence"] < 0.47
 
 
+def test_word_divergence_and_verdict_equal_brute_force(spark):
+    """The true top words whatever their length, ties to the smaller word, nulls as a language of their own."""
+    rows = [(k, "Furthermore notwithstanding " * (3 * (k % 4)) + prose(k, 60 + 30 * (k % 7), 90) + (" $%" * (40 * (k % 5))), ("en", "de", None)[k % 3], "s") for k in range(60)]
+    rows += [(100, None, "en", "s"), (101, "", None, "s"), (None, prose(1, 80, 90), "de", "s"), (3, rows[3][1], "en", "s"), (102, prose(2, 20_000, 90), "de", "s")]
+    got = quality_divergence.quality_rules(docs(spark, rows), top=8).collect()
+    assert len(got) == len(rows)
+    words, chars = defaultdict(Counter), defaultdict(lambda: np.zeros(8))
+    for _, t, lang, _ in rows:
+        words[lang].update((t or "").lower().split())
+        chars[lang] += quality_divergence.char_histogram(t or "")
+    assert any(w in ("furthermore", "notwithstanding") for c in words.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:8])
+
+    def js(p, q):
+        p, q = np.array(p, dtype=float) / sum(p), np.array(q, dtype=float) / sum(q)
+        return math.sqrt(sum(x * math.log2(x / ((a + b) / 2)) / 2 for a, b in zip(p, q, strict=True) for x in (a, b) if x > 0))
+
+    want = []
+    for i, t, lang, _ in rows:
+        mine = (t or "").lower().split()
+        common = [w for w, _ in sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[:8]]
+        c, every = Counter(mine), words[lang]
+        p, q = [[*(x[w] for w in common), x.total() - sum(x[w] for w in common)] for x in (c, every)]
+        dc = js(quality_divergence.char_histogram(t), chars[lang]) if t and len(t) >= 200 else None
+        dw = js(p, q) if len(mine) >= 50 else None
+        three = Counter(zip(mine, mine[1:], mine[2:], strict=False))
+        hit = {k + j for k in range(len(mine) - 2) if three[tuple(mine[k : k + 3])] > 1 for j in range(3)}
+        limit = 1.0
+        if dw is not None:
+            absent = js([0] * 8 + [1], q)
+            noise = quality_divergence.sampling_distance(np.array(q) / sum(q), len(mine))
+            limit = min(0.47, noise + 0.6 * (absent - noise)) if absent > noise else 0.47
+        kept = len(mine) >= 50 and 100 * len(hit) <= 50 * len(mine) and not (dc or 0) > 0.3 and not (dw or 0) > limit
+        want.append((i, lang, dc, dw, kept))
+    key = lambda x: (x[0] is None, x[0] or 0, str(x[1:]))
+    langs = Counter((i, lang) for i, _, lang, _ in rows)
+    assert langs
+    mine = sorted(((r["doc_id"], None if r["char_divergence"] is None else round(r["char_divergence"], 9), None if r["word_divergence"] is None else round(r["word_divergence"], 9), r["kept"]) for r in got), key=key)
+    theirs = sorted(((i, None if a is None else round(a, 9), None if b is None else round(b, 9), k) for i, _, a, b, k in want), key=key)
+    assert mine == theirs and any(k for *_, k in theirs) and any(not k and b is not None for _, _, b, k in theirs)
+
+
 def test_more_languages_than_are_sent(spark, monkeypatch):
     rows = [(k, prose(k, 70), f"l{k % 3}", "s") for k in range(9)]
     want = sorted((r["doc_id"], r["word_divergence"]) for r in quality_divergence.quality_rules(docs(spark, rows)).collect())

@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence (operator 10).
 
 Each language's reference is learned from the whole table: the histogram of its
-characters over eight classes, and the histogram of its most common short words
+characters over eight classes, and the histogram of its `top` most common words
 with everything else as one more bin.  A document is compared with the
 reference of its language by Jensen-Shannon distance (base 2, so 0 to 1); it is
 rejected where a distance is above its limit and the document is long enough
@@ -12,15 +12,15 @@ common its language's common words are: it lies `margin` of the way from what
 sampling alone gives a text of as many words to the distance of a text without
 any common word, and never above `max_word`.
 
-Common words are looked for among words of at most `word_len` characters, which
-is where function words are and which keeps the number of distinct candidates
-small whatever the corpus; their counts are exact and cover all documents.
+All words of all documents are counted, each once per task before anything moves;
+the most common of each slice of the vocabulary are ranked first, so that no
+language's words meet in one task.
 
 Cases: null and empty texts have no words and fail the base rule; null
 languages form a language of their own; ties among common words go to the
 smaller word; repeated rows count each time; rows with a null id are kept;
 other columns are ignored, whatever their names; an empty table gives an empty
-result.
+result; very long texts are read whole, in batches bounded by bytes.
 """
 
 from __future__ import annotations
@@ -39,8 +39,9 @@ from tidemark.llm._store import small_batches
 SYMBOLS = "#*$%&|<>"
 SPACE = "\t\n\v\f\r "
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "letter", "other")
-#: Languages whose references are sent with the tasks (about 3 KB each); with more, they are joined.
+#: Languages whose references are sent with the tasks (about 3 KB each); with more, they are joined, each language's rows dealt to `SALTS` tasks.
 MAX_SENT_LANGUAGES = 2000
+SALTS = 16
 
 
 def _class_table() -> np.ndarray:
@@ -139,7 +140,7 @@ def sampling_distance(share: np.ndarray, n: int) -> float:
     return math.sqrt(float((share * (1 - share) * d).sum()))
 
 
-def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 64, word_len: int = 4) -> DataFrame:
+def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 64) -> DataFrame:
     """(lang, chars array<long>, words array<struct<word, n>>, n_words long): one row per language, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +162,9 @@ def language_references(df: DataFrame, text_col: str = "text", lang_col: str = "
                 s = text.decode("utf-8", "replace")
                 chars[lang] += char_histogram(s)
                 got = s.encode("utf-8", "replace").split()
-                short = [w for w in got if len(w) <= 4 * word_len]
-                mine = Counter(w.decode().lower() for w in short)
                 c = words[lang]
-                for w, n in mine.items():
-                    if len(w) <= word_len:
-                        c[w] += n
+                for w, n in Counter(got).items():
+                    c[w.decode().lower()] += n
                 c[""] += len(got)  # no word is empty: all words
             if sum(map(len, words.values())) > 300_000:
                 yield flush()
@@ -211,7 +209,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_char: float = 0.3, max_word: float = 0.47, margin: float = 0.6,
-    min_chars: int = 200, min_words: int = 50, top: int = 64, word_len: int = 4, references: DataFrame | None = None, keep: tuple[str, ...] = (),
+    min_chars: int = 200, min_words: int = 50, top: int = 64, references: DataFrame | None = None, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """A row per document: base counts, base_failed, both divergences, and kept.
 
@@ -220,13 +218,15 @@ def quality_rules(
     count, below `min_chars` characters or `min_words` words.  `keep` names
     columns of `df` to carry along.
     """
-    references = language_references(df, text_col, lang_col, top, word_len) if references is None else references
+    references = language_references(df, text_col, lang_col, top) if references is None else references
     got = references.limit(MAX_SENT_LANGUAGES + 1).collect()
     sent = {r["lang"]: _Reference(r["chars"], r["words"], r["n_words"]) for r in got} if len(got) <= MAX_SENT_LANGUAGES else None
     carried = [F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)]
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), *carried)
     if sent is None:
-        docs = docs.join(references.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2")), "left")
+        salted = references.withColumnRenamed("lang", "lang2").withColumn("salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("salt", F.pmod(F.xxhash64("id", "text"), F.lit(SALTS)).cast("int"))
+        docs = docs.join(salted, F.col("lang").eqNullSafe(F.col("lang2")) & (F.col("salt") == F.col("salt2")), "left")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +246,7 @@ def quality_rules(
                     h = np.zeros(len(ref.words))
                     rest = len(h) - 1
                     for w, c in Counter(words).items():
-                        h[ref.place.get(w.decode("utf-8", "replace").lower(), rest) if len(w) <= 4 * word_len else rest] += c
+                        h[ref.place.get(w.decode("utf-8", "replace").lower(), rest)] += c
                     dw = js_distance(h, ref.words)
                 kept = not failed and not (dc is not None and dc > max_char) and not (dw is not None and dw > ref.word_limit(n, margin, max_word))
                 out.append((n, n_chars - int(chars[3]), int(chars[5]), duplicate_lines(text), repeats, failed, dc, dw, kept))
