@@ -455,6 +455,41 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+def test_rows_sent_are_linear_in_a_bucket_with_one_outlier(spark):
+    n = 10_000
+    members = spark.range(n).select(F.lit(5).cast("long").alias("bucket"), F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("v"), F.when(F.col("id") == 17, F.lit("x")).otherwise(F.lit("a")).cast("binary").alias("label"), F.unhex(F.lit("00000000")).alias("pivot"))
+    blocks = -(-n // setsketch.BLOCK)
+    got = setsketch._blocks(members)
+    assert got.count() == n - 1 + blocks
+    # every other member meets the outlier once
+    pairs = got.filter("NOT minor").select("i", "j", F.col("v").alias("y")).join(got.filter("minor").select("i", "j", F.col("v").alias("x")), ["i", "j"])
+    assert pairs.count() == n - 1 and pairs.select("y").distinct().count() == n - 1
+    assert setsketch._blocks(members.filter("label = X'61'")).count() == 0
+
+
+def test_a_hot_class_is_told_without_one_task(spark):
+    """A text in a third of all rows, and texts without words in another: each row gets its component."""
+    rows = [(k, "the same words all over again") for k in range(900)] + [(1000 + k, " ") for k in range(900)] + [(3000 + k, prose(k, 40)) for k in range(900)]
+    got = setsketch.near_duplicates(docs(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter([(k, 0, k == 0) for k in range(900)] + [(k, k, True) for k in [*range(1000, 1900), *range(3000, 3900)]])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_recall_on_documents(spark):
+    """Links of ids divisible by 50 with all rows, by brute force: both in one component."""
+    sf = "/root/testdata/sf0.01"
+    comp = {r["doc_id"]: r["component_id"] for r in QUERIES["op9_setsketch"](spark, sf).collect()}
+    sets = {r["doc_id"]: set(setsketch.shingles((r["text"] or "").encode().lower().split()).tolist()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    linked = found = 0
+    for i in (i for i in sets if i % 50 == 0):
+        for k, other in sets.items():
+            both = len(sets[i] & other)
+            if i != k and both and 100 * both >= 85 * (len(sets[i]) + len(other) - both):
+                linked += 1
+                found += comp[i] == comp[k]
+    assert linked and found == linked
+
+
 def test_registers_merge_and_estimate():
     r = np.random.default_rng(0)
     items = setsketch.mix(r.integers(0, 1 << 63, 3000).astype(np.uint64))

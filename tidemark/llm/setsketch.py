@@ -12,10 +12,11 @@ are similar.
 3. A pair's similarity is estimated by maximum likelihood from the counts of
    larger, smaller and equal registers and both set sizes; pairs five standard
    errors below the limit go.  The others are verified on their full sets.
-4. Links give components.  Members of a bucket that are still in different
-   components are held against each other in memory, in blocks; the likely pairs
-   are verified there, and only links leave the task.  Pairs inside a component
-   need no check.
+4. Links give components.  Where members of a bucket are still in different
+   components, those outside its largest component are held against all others
+   in memory, in blocks; the likely pairs are verified there, and only links
+   leave the task.  Pairs inside a component need no check, so one outlier among
+   M copies costs M rows.
 5. Components of all links; a document's component is the least id in it.
 
 A pair at the limit is missed if all bands differ: 1 in 100,000, and far less
@@ -25,7 +26,9 @@ Cases: null and empty texts have an empty set and stay by themselves; texts
 with fewer words than a shingle are one shingle; repeated rows and equal texts
 link with each other; a null id has the component of its links (null if all
 ids are null) and is kept only if that is null too; other columns are ignored;
-an empty table gives an empty result.
+an empty table gives an empty result; very long texts are read whole, in batches
+bounded by bytes, and texts with the same words in a third of all rows are one
+class, whose rows are told their class's component where they are.
 """
 
 from __future__ import annotations
@@ -50,6 +53,8 @@ B, A, Q = 1.001, 20.0, 2**16 - 2
 SHINGLE, PERCENT = 5, 85
 #: Members of a bucket that one task compares with each other or with another such block.
 BLOCK = 2048
+#: Classes that hold more than one in so many rows are sent to all tasks: there are fewer than so many of them.
+HOT_SHARE = 1000
 _rng = np.random.default_rng(20_211)
 _MUL = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _MUL2 = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -142,7 +147,7 @@ def _pairs_table(out: list[tuple[bytes, bytes]]) -> pa.Table:
 
 
 def classes_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(v, rep, n, regs): a row per distinct sequence of words, with its least id, set size and registers."""
+    """(v, rep, copies, n, regs): a row per distinct sequence of words, with its least id, number of rows, set size and registers."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +166,11 @@ def classes_of(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), batch.column("id").take(pa.array(take, pa.int64())), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], ["v", "id", "n", "regs"])
 
     rows = docs.mapInArrow(sketch, f"v binary, id {kind}, n long, regs binary")
-    return rows.groupBy("v").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    return rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"))
 
 
 def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(v, rep, n, first, component): each class of `docs` (id, text) with its least id, set size, and the least id of its component; first: is it the class of its component that has that id?"""
+    """(v, rep, copies, n, first, component): each class of `docs` (id, text) with its least id, number of rows, set size, and the least id of its component; first: is it the class of its component that has that id?"""
     small_batches(docs.sparkSession)
     classes = stored(classes_of(docs, shingle), "classes")
     limit = likely_limit(percent)
@@ -188,17 +193,14 @@ def near_duplicate_classes(docs: DataFrame, percent: int = PERCENT, shingle: int
     links = stored(_verified(_likely(star, known, limit, percent), texts, percent, shingle), "links")
     labels = connected_components(links)
 
-    # buckets whose members are in different components
-    open_ = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    split = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    rest = open_.join(split, "bucket").join(known.join(texts, "v"), "v")
+    rest = _blocks(members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))).join(known.join(texts, "v"), "v")
     further = stored(_rest_links(rest, limit, percent, shingle, rows, n_bands).distinct(), "links2")
     every = connected_components(links.unionByName(further)) if not further.isEmpty() else labels
 
     named = every.join(classes.select("v", "rep"), "v").groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "v")).alias("least"))
     found = every.join(named, "label").select("v", "least")
-    about = classes.select("v", "rep", "n").join(found, "v", "left")
-    return about.select("v", "rep", "n", F.coalesce(F.col("least.v") == F.col("v"), F.lit(True)).alias("first"), F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least.rep")).alias("component"))
+    about = classes.select("v", "rep", "copies", "n").join(found, "v", "left")
+    return about.select("v", "rep", "copies", "n", F.coalesce(F.col("least.v") == F.col("v"), F.lit(True)).alias("first"), F.when(F.col("least").isNull(), F.col("rep")).otherwise(F.col("least.rep")).alias("component"))
 
 
 def _with_class(docs: DataFrame) -> DataFrame:
@@ -216,12 +218,29 @@ def _with_class(docs: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row: documents link where 100 * intersection >= percent * union."""
     docs = _docs(df, id_col, text_col)
-    about = near_duplicate_classes(docs, percent, shingle)
-    out = _with_class(docs).select("id", "v").join(about, "v", "left")
+    out = _told(_with_class(docs).select("id", "v"), stored(near_duplicate_classes(docs, percent, shingle).select("v", "copies", "n", "component"), "about"))
     component = F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _told(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """(id, v, n, component) of rows (id, v).
+
+    Classes with more than a thousandth of all rows, fewer than a thousand, are
+    broadcast; their rows, and those without words, are spread by id in the join
+    with the others, where they match nothing.
+    """
+    total = about.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") * HOT_SHARE > total
+    hot = about.filter(is_hot).select(F.col("v").alias("hv"), F.col("n").alias("hn"), F.col("component").alias("hc"))
+    cold = about.filter(~is_hot).select(F.col("v").alias("j"), "n", "component")
+    at = rows.join(F.broadcast(hot), F.col("v") == F.col("hv"), "left")
+    alone = F.concat(F.lit("-" * 17), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")  # classes have 16 bytes
+    at = at.withColumn("j", F.when(F.col("v").isNull() | F.col("hv").isNotNull(), alone).otherwise(F.col("v")))
+    out = at.join(cold, "j", "left")
+    return out.select("id", "v", F.coalesce("hn", "n").alias("n"), F.when(F.col("hv").isNotNull(), F.col("hc")).otherwise(F.col("component")).alias("component"))
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 80, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep...): one row of each component, that with its least id, and all rows without words.
 
@@ -302,6 +321,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) ->
     return pairs.join(one, "a").join(other, "b").select("a", "b", "pa", "pb").mapInArrow(check, "a binary, b binary")
 
 
+def _blocks(open_: DataFrame) -> DataFrame:
+    """(bucket, i, j, minor, v, label): who meets whom, from members (bucket, v, label, pivot).
+
+    In a bucket, those outside its largest component (block j of them) meet all
+    members (block i).  So a member is sent once per block of such, and those once
+    per block of members.
+    """
+    sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
+    sizes = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("every"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
+    at = open_.select("bucket", "v", "label", "pivot").join(sizes, "bucket").filter("v <> pivot")
+    blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("every", "others"))
+    i, j = F.pmod(F.xxhash64("v"), blocks).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), other_blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(False).alias("minor")))
+    asked = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(True).alias("minor")))
+    return at.withColumn("meet", F.explode(F.when(F.col("label") == F.col("major"), meets).otherwise(F.concat(meets, asked)))).select("bucket", "meet.i", "meet.j", "meet.minor", "v", "label")
+
+
 def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows: int, n_bands: int) -> DataFrame:
     """Links across components within buckets, from blocks of members held against each other in memory.
 
@@ -309,14 +345,10 @@ def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows:
     earlier band is judged there; members that a link has just put together
     need none.  So a block sends at most as many links as it has members.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(meets)).select("bucket", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "v", "label", "pivot", "n", "regs", "payload")
 
     def compare(table: pa.Table) -> pa.Table:
-        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
-        v, pivot, payload = (table.column(c).to_pylist() for c in ("v", "pivot", "payload"))
+        bucket = table.column("bucket")[0].as_py()
+        v, payload = (table.column(c).to_pylist() for c in ("v", "payload"))
         numbers: dict[bytes, int] = {}
         label = np.array([numbers.setdefault(x, len(numbers)) for x in table.column("label").to_pylist()])
         parent = list(range(len(numbers)))
@@ -335,16 +367,14 @@ def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows:
                 sets[k] = shingles(unpress.decompress(payload[k]).split(), shingle)
             return sets[k]
 
-        mine, n = table.column("mine").to_numpy(), table.column("n").to_numpy().astype(float)
+        asks, n = np.array(table.column("minor").to_pylist(), dtype=bool), table.column("n").to_numpy().astype(float)
         regs = _matrix(table.column("regs").combine_chunks())
         band = bands(regs[0], rows, n_bands).index(bucket)
         head = regs[:, : band * rows].reshape(len(regs), band, rows)
-        is_pivot = np.array([x == pivot[0] for x in v])
         out = []
-        left, right = np.flatnonzero((mine == i) & ~is_pivot), np.flatnonzero((mine == j) & ~is_pivot)
-        for x in left.tolist():
-            y = right[right > x] if i == j else right
-            y = y[label[y] != label[x]]
+        asked = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks).tolist():
+            y = asked[label[asked] != label[x]]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             y = y[(regs[y] == regs[x]).sum(axis=1) >= (limit - 0.02) * REGISTERS]  # a cheap bound before the estimate
             if band and len(y):
@@ -361,7 +391,7 @@ def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows:
                         out.append((min(v[x], v[k]), max(v[x], v[k])))
         return _pairs_table(out)
 
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
+    return rest.select("bucket", "i", "j", "minor", "v", "label", "n", "regs", "payload").groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
