@@ -444,6 +444,7 @@ def test_components_equal_brute_force(spark, seed):
 
 def test_large_group_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(setsketch, "BLOCK", 8)
+    monkeypatch.setattr(setsketch, "MEETS", 5)
     base = prose(0, 300).split()
     rows = []
     for k in range(60):
@@ -458,7 +459,7 @@ def test_large_group_in_blocks(spark, monkeypatch):
 def test_rows_sent_are_linear_in_a_bucket_with_one_outlier(spark):
     n = 10_000
     members = spark.range(n).select(F.lit(5).cast("long").alias("bucket"), F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("v"), F.when(F.col("id") == 17, F.lit("x")).otherwise(F.lit("a")).cast("binary").alias("label"), F.unhex(F.lit("00000000")).alias("pivot"))
-    blocks = -(-n // setsketch.BLOCK)
+    blocks = -(-n // setsketch.MEETS)
     got = setsketch._blocks(members)
     assert got.count() == n - 1 + blocks
     # every other member meets the outlier once

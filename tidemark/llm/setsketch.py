@@ -51,8 +51,8 @@ from tidemark.llm._store import small_batches, stored
 REGISTERS = 256
 B, A, Q = 1.001, 20.0, 2**16 - 2
 SHINGLE, PERCENT = 5, 85
-#: Members of a bucket that one task compares with each other or with another such block.
-BLOCK = 2048
+#: Members outside a bucket's largest component that one task holds against members of the bucket, and how many of these.
+BLOCK, MEETS = 2048, 512
 #: Classes that hold more than one in so many rows are sent to all tasks: there are fewer than so many of them.
 HOT_SHARE = 1000
 _rng = np.random.default_rng(20_211)
@@ -331,7 +331,7 @@ def _blocks(open_: DataFrame) -> DataFrame:
     sizes = open_.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket")
     sizes = sizes.agg(F.max_by("label", F.struct("c", "label")).alias("major"), F.sum("c").alias("every"), (F.sum("c") - F.max("c")).alias("others")).filter("others > 0")
     at = open_.select("bucket", "v", "label", "pivot").join(sizes, "bucket").filter("v <> pivot")
-    blocks, other_blocks = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("every", "others"))
+    blocks, other_blocks = (F.ceil(F.col(c) / size).cast("int") for c, size in (("every", MEETS), ("others", BLOCK)))
     i, j = F.pmod(F.xxhash64("v"), blocks).cast("int"), F.pmod(F.xxhash64("v", F.lit(1)), other_blocks).cast("int")
     meets = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(False).alias("minor")))
     asked = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(True).alias("minor")))
