@@ -11,9 +11,9 @@ from tidemark.llm.html_blocks import op3_html_blocks
 from tidemark.llm.line_frequency import OP5_SQL, op5_line_frequency
 from tidemark.llm.mixture_packing import op6_mixture_packing
 from tidemark.llm.quality_divergence import op10_quality_divergence
-from tidemark.llm.setsketch import op9_setsketch
+from tidemark.llm.setsketch import OP9_SQL, op9_setsketch
 from tidemark.llm.spaced_seeds import op8_spaced_seeds
-from tidemark.llm.substring_words import op2_substring_words
+from tidemark.llm.substring_words import OP2_SQL, op2_substring_words
 from tidemark.llm.suffix_dedup import op7_suffix_dedup
 from tidemark.llm.toxicity_lexicon import op4_toxicity_lexicon
 
@@ -31,5 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_substring_words": OP2_SQL,
     "op5_line_frequency": OP5_SQL,
+    "op9_setsketch": OP9_SQL,
 }

@@ -397,3 +397,19 @@ def _rest_links(rest: DataFrame, limit: float, percent: int, shingle: int, rows:
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all `documents`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+starts AS (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS s FROM docs WHERE len(w) > 0),
+sets AS (SELECT DISTINCT r, array_to_string(w[s : s + 4], ' ') AS shingle FROM starts),
+sizes AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM docs UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+comp AS (SELECT reach.x AS r, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.y GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM docs LEFT JOIN sizes USING (r) JOIN comp USING (r)
+"""

@@ -161,3 +161,17 @@ def op2_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of `documents` outside windows of 35 words that start anywhere else too, as counts and a digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return remove_repeated_windows(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM docs WHERE len(w) >= 35),
+runs AS (SELECT r, s, array_to_string(w[s : s + 34], ' ') AS run FROM starts),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY run) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT DISTINCT r, s + j AS p FROM again, (SELECT unnest(range(35)) AS j)),
+removed AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN removed m USING (r) LEFT JOIN kept k USING (r)
+"""
