@@ -294,3 +294,54 @@ def test_vpin_of_one_sided_flow(spark):
 
 def test_positions_number_from_zero(spark):
     assert column(with_pos(ticks(spark, [3, 1, 2])), "pos", "seq") == [0, 1, 2]
+
+
+def test_track_record_column_is_the_scalar(spark):
+    rows = [(0.2, 0.1, 0.3, 4.0), (0.5, 0.0, -0.2, 3.0), (0.1, 0.1, 0.0, 3.0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "sr double, low double, skew double, kurt double").select(stats.track_record("sr", "low", "skew", "kurt")).collect()]
+    assert got[:2] == pytest.approx([stats.min_track_record_length(*r) for r in rows[:2]]) and got[2] is None
+
+
+def test_long_convolution_is_the_direct_one():
+    r = np.random.default_rng(0)
+    y = 100 + np.cumsum(r.normal(size=3000))
+    w = np.array(fracdiff.get_weights(0.4, 3000))
+    assert np.allclose(fracdiff._convolved(y, w, direct=10), np.convolve(y, w)[:3000], rtol=0, atol=1e-9)
+
+
+def test_scores_of_each_number_of_clusters_and_a_given_tree(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 6))
+    x[:, :3] += 2 * r.normal(size=(200, 1))
+    corr, cov = np.corrcoef(x.T), np.cov(x.T)
+    long = lambda m: spark.createDataFrame([(0, i, j, float(m[i, j])) for i in range(6) for j in range(6)], "matrix_id int, i int, j int, v double")
+    scores = {r["k"]: r["silhouette"] for r in portfolio.onc_scores(long(corr), 4).collect()}
+    labels, best = portfolio.onc_labels(corr, 4)
+    assert sorted(scores) == [2, 3, 4] and max(scores.values()) == pytest.approx(best) and len(set(labels.tolist())) in scores
+    other = np.corrcoef(r.normal(size=(6, 50)))
+    got = [r["weight"] for r in portfolio.hrp_weights(long(cov), corr=long(other)).orderBy("i").collect()]
+    assert got == pytest.approx(portfolio.hrp(cov, other)) and got != pytest.approx(portfolio.hrp(cov))
+
+
+def test_permutations_are_those_of_one_stream(spark):
+    """mda by hand: one generator, fold by fold, repeat by repeat, feature by feature."""
+    r = np.random.default_rng(1)
+    X = r.normal(size=(80, 2))
+    y = (X[:, 0] > 0).astype(int)
+    splits = cv.purged_kfold(spark.createDataFrame([("all", k, k) for k in range(80)], "series_id string, pos long, end_pos long"), 4)
+    got = {r["feature"]: r["mean"] for r in models.mda(spark, models.NearestCentroid, {"X": X, "y": y}, splits, ["a", "b"], n_repeats=2, seed=5).collect()}
+    rng, drops = np.random.default_rng(5), {0: [], 1: []}
+    for k in range(4):
+        test = np.arange(20 * k, 20 * k + 20)
+        train = np.setdiff1d(np.arange(80), test)
+        m = models.NearestCentroid().fit(X[train], y[train])
+        base = models.accuracy(y[test], m.predict(X[test]))
+        fold = {0: [], 1: []}
+        for _ in range(2):
+            for f in range(2):
+                Z = X[test].copy()
+                Z[:, f] = Z[rng.permutation(20), f]
+                fold[f].append(base - models.accuracy(y[test], m.predict(Z)))
+        for f in range(2):
+            drops[f].append(np.mean(fold[f]))
+    assert [got["a"], got["b"]] == pytest.approx([np.mean(drops[0]), np.mean(drops[1])])

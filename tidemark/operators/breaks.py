@@ -203,6 +203,16 @@ def _need(min_length: int, lag: int, constant: str) -> None:
         raise ValueError("min_length is too small for the lags and constant")
 
 
+def adf_tau(y: np.ndarray, lag: int, constant: str = "c") -> float:
+    """The statistic of one array; NaN where there are too few values."""
+    if constant not in DETERMINISTIC or lag < 0:
+        raise ValueError("lag must be at least 0 and constant known")
+    y = np.asarray(y, dtype=float)
+    if len(y) < 2 * lag + DETERMINISTIC[constant] + 3:
+        return float("nan")
+    return float(next(window_taus(y, np.array([len(y) - 1]), len(y), lag, constant))[1][0])
+
+
 def adf_stat(df: DataFrame, lag: int, constant: str = "c", value: str = "value") -> DataFrame:
     """`tau` of each series as a whole."""
     if constant not in DETERMINISTIC or lag < 0:
@@ -210,11 +220,8 @@ def adf_stat(df: DataFrame, lag: int, constant: str = "c", value: str = "value")
     kind = df.schema[SERIES].dataType.simpleString()
 
     def run(data: dict) -> list[tuple]:
-        y = np.asarray(data[value], dtype=float)
-        if len(y) < 2 * lag + DETERMINISTIC[constant] + 3:
-            return [(None,)]
-        tau = next(window_taus(y, np.array([len(y) - 1]), len(y), lag, constant))[1]
-        return [(float(tau[0]) if not np.isnan(tau[0]) else None,)]
+        tau = adf_tau(data[value], lag, constant)
+        return [(None if np.isnan(tau) else tau,)]
 
     return per_series(df, run, f"{SERIES} {kind}, tau double", [value])
 

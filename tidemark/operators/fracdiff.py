@@ -52,6 +52,17 @@ def frac_diff_ffd(df: DataFrame, d: float, thres: float = 1e-5, value: str = "va
     return x.withColumn(name, F.when(F.col(value).isNotNull(), total)).drop("__x")
 
 
+def _convolved(y: np.ndarray, w: np.ndarray, direct: int = 8192) -> np.ndarray:
+    """The first len(y) values of the convolution; by Fourier transforms beyond `direct` values, where n squared products are too many."""
+    n = len(y)
+    if n <= direct:
+        return np.convolve(y, w)[:n]
+    size = 1 << (2 * n - 1).bit_length()
+    # the first value is taken out, so that rounding follows the changes and not the level
+    rest = np.fft.irfft(np.fft.rfft(y - y[0], size) * np.fft.rfft(w, size), size)[:n]
+    return rest + y[0] * np.cumsum(w)
+
+
 def frac_diff(df: DataFrame, d: float, thres: float = 0.01, value: str = "value", name: str = "fd") -> DataFrame:
     """Differences over the whole past, from the first row on whose share of weights left out is at most `thres`; leading NULLs are skipped.
 
@@ -74,7 +85,7 @@ def frac_diff(df: DataFrame, d: float, thres: float = 0.01, value: str = "value"
             loss = loss / loss[-1]
             # weights beyond a row's past are lost at that row: n - 1 - t of them are the farthest
             first = int(np.searchsorted(-(1 - loss), -thres, side="left"))
-            got = np.convolve(y, w)[: len(y)]
+            got = _convolved(y, w)
             for t in range(first, len(y)):
                 if not np.isnan(x[at + t]):
                     out[at + t] = float(got[t])

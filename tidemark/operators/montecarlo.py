@@ -52,9 +52,16 @@ def random_labels(n_obs: int, n_bars: int, max_h: int, rng: np.random.Generator)
 
 
 def random_t1(spark: SparkSession, n_obs: int, n_bars: int, max_h: int, seed: int | None = None) -> DataFrame:
-    """(start_pos, end_pos) of a random set of labels."""
-    s, e = random_labels(n_obs, n_bars, max_h, np.random.default_rng(seed))
-    return spark.createDataFrame(list(zip(s.tolist(), e.tolist(), strict=True)), "start_pos long, end_pos long")
+    """(start_pos, end_pos) of a random set of labels, drawn in a task: one stream of random numbers has one reader."""
+
+    def draw(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, e = random_labels(n_obs, n_bars, max_h, np.random.default_rng(seed))
+        for at in range(0, len(s), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(s[at : at + 100_000]), pa.array(e[at : at + 100_000])], ["start_pos", "end_pos"])
+
+    if n_obs < 1 or n_bars < 1 or max_h < 2:
+        raise ValueError("n_obs and n_bars must be at least 1, max_h at least 2")
+    return spark.range(0, 1, 1, 1).mapInArrow(draw, "start_pos long, end_pos long")
 
 
 def _mean_uniqueness(starts: np.ndarray, ends: np.ndarray) -> float:

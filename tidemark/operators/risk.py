@@ -51,12 +51,18 @@ def probability_of_failure(returns: DataFrame, freq: float, target_sharpe: float
 
 
 def mixture_returns(spark: SparkSession, mu1: float, mu2: float, sigma1: float, sigma2: float, prob1: float, n_obs: int, seed: int | None = None) -> DataFrame:
-    """(pos, ret): a shuffled mixture of two normal samples."""
-    rng = np.random.default_rng(seed)
-    n1 = int(n_obs * prob1)
-    x = np.concatenate([rng.normal(mu1, sigma1, n1), rng.normal(mu2, sigma2, n_obs - n1)])
-    rng.shuffle(x)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "pos long, ret double")
+    """(pos, ret): a shuffled mixture of two normal samples, made in a task: one stream of random numbers has one reader."""
+
+    def draw(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(seed)
+        n1 = int(n_obs * prob1)
+        x = np.concatenate([rng.normal(mu1, sigma1, n1), rng.normal(mu2, sigma2, n_obs - n1)])
+        rng.shuffle(x)
+        for at in range(0, n_obs, 100_000):
+            part = x[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["pos", "ret"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(draw, "pos long, ret double")
 
 
 def ou_half_life(phi_: float | Column) -> Column:

@@ -65,6 +65,15 @@ def deflated_sharpe_ratio(sr_hat: float, n_trials: int, var_sr: float, n_obs: in
     return deflated_sharpe(sr_hat, n_trials, var_sr, n_obs, skew, kurt)["dsr"]
 
 
+def track_record(sr_hat: Column | str, sr_benchmark: Column | str, skew: Column | str, kurt: Column | str, prob: float = 0.95) -> Column:
+    """`min_track_record_length` of columns; NULL where the ratio isn't above the benchmark."""
+    if not 0.5 <= prob < 1:
+        raise ValueError("prob must be in [0.5, 1)")
+    sr, low, skew, kurt = (F.col(c) if isinstance(c, str) else c for c in (sr_hat, sr_benchmark, skew, kurt))
+    length = 1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) * F.pow(F.lit(phi_inverse(prob)) / (sr - low), F.lit(2.0))
+    return F.when(sr > low, length)
+
+
 def min_track_record_length(sr_hat: float, sr_benchmark: float, skew: float = 0.0, kurt: float = 3.0, prob: float = 0.95) -> float:
     """Observations for the probabilistic Sharpe ratio to reach `prob`."""
     if not 0.5 <= prob < 1 or sr_hat <= sr_benchmark:

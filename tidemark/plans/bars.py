@@ -32,7 +32,7 @@ arg_max(price, ts) AS close, sum(volume) AS volume, round(sum(price * volume), 4
 
 
 def tick_bars(spark: SparkSession, d: str) -> DataFrame:
-    return _bars(B.tick_bars(ticks(spark, d), 50))
+    return _bars(B.tick_bars(ticks(spark, d), 50, bucket="day"))
 
 
 TICK_BARS = f"""WITH {TICKS}, n AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) - 1) // 50 AS bar_id FROM ticks)

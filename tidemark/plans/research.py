@@ -22,7 +22,7 @@ from tidemark.operators import risk as R
 from tidemark.operators import stats as S
 from tidemark.operators.series import with_pos
 from tidemark.plans.bars import _r
-from tidemark.sources.tables import DAILY, DAYS, LABELS, MESSAGES, PERFORMANCE, POSITIONS, RETURNS, daily, days, labels, messages, performance, positions, returns, table
+from tidemark.sources.tables import DAILY, DAYS, LABELS, MESSAGES, PERFORMANCE, PERFORMANCE_ALL, POSITIONS, RETURNS, daily, days, labels, messages, performance, positions, returns, table
 
 
 def sharpe(spark: SparkSession, d: str) -> DataFrame:
@@ -99,18 +99,18 @@ def pbo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deflated(spark: SparkSession, d: str) -> DataFrame:
-    return _r(S.registry_deflated_sharpe(performance(spark, d)).select("trial_id", "sr", "n", "skew", "kurt", "var_sr", "n_trials", "sr_star", "dsr"), "sr", "skew", "kurt", "var_sr", "sr_star", "dsr", digits=7)
+    return _r(S.registry_deflated_sharpe(performance(spark, d, 1)).select("trial_id", "sr", "n", "skew", "kurt", "var_sr", "n_trials", "sr_star", "dsr"), "sr", "skew", "kurt", "var_sr", "sr_star", "dsr", digits=7)
 
 
 _q = [S.phi_inverse(1 - 1 / 5), S.phi_inverse(1 - 1 / (5 * math.e))]
-DEFLATED = f"""WITH {PERFORMANCE}, m AS (SELECT trial_id, avg(ret) AS a, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp, count(*) AS n FROM performance GROUP BY 1), h AS (SELECT trial_id, any_value(a) / any_value(sd) AS sr, any_value(n) AS n, avg(pow(ret - a, 3)) / any_value(pow(sp, 3)) AS skew, avg(pow(ret - a, 4)) / any_value(pow(sp, 4)) AS kurt FROM performance JOIN m USING (trial_id) GROUP BY 1),
+DEFLATED = f"""WITH {PERFORMANCE_ALL}, m AS (SELECT trial_id, avg(ret) AS a, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp, count(*) AS n FROM performance GROUP BY 1), h AS (SELECT trial_id, any_value(a) / any_value(sd) AS sr, any_value(n) AS n, avg(pow(ret - a, 3)) / any_value(pow(sp, 3)) AS skew, avg(pow(ret - a, 4)) / any_value(pow(sp, 4)) AS kurt FROM performance JOIN m USING (trial_id) GROUP BY 1),
 v AS (SELECT var_samp(sr) AS var_sr, count(*) AS n_trials FROM h), b AS (SELECT h.*, var_sr, n_trials, sqrt(var_sr) * ((1 - {S.EULER_GAMMA!r}) * CAST({_q[0]!r} AS DOUBLE) + {S.EULER_GAMMA!r} * CAST({_q[1]!r} AS DOUBLE)) AS sr_star FROM h, v ORDER BY sr DESC, trial_id LIMIT 1),
 z AS (SELECT *, (sr - sr_star) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z FROM b)
 SELECT trial_id, round(sr, 7) AS sr, CAST(n AS BIGINT) AS n, round(skew, 7) AS skew, round(kurt, 7) AS kurt, round(var_sr, 7) AS var_sr, CAST(n_trials AS BIGINT) AS n_trials, round(sr_star, 7) AS sr_star, round({phi_sql('z')}, 7) AS dsr FROM z"""
 
 
 def performance_matrix(spark: SparkSession, d: str) -> DataFrame:
-    p = performance(spark, d)
+    p = performance(spark, d, 1)
     trials = p.groupBy("trial_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "ret"))), lambda s: s["ret"]).alias("returns"))
     return _r(S.performance_matrix(trials), "ret", digits=9)
 
@@ -292,6 +292,14 @@ def smt_poly(spark: SparkSession, d: str) -> DataFrame:
     return _r(K.smt(_levels(spark, d), 20, "poly1"), "smt", digits=5)
 
 
+# sums of decimals are exact, so differences of sums from the start lose nothing
+SMT_POLY1 = f"""WITH {LEVELS}, c AS (SELECT pos, CAST(y - avg(y) OVER () AS DECIMAL(24, 15)) AS y, CAST(pos AS DECIMAL(6, 0)) AS t FROM lev),
+ps AS (SELECT pos, coalesce(sum(y) OVER w, 0) AS a, coalesce(sum(y * t) OVER w, 0) AS f, coalesce(sum(y * t * t) OVER w, 0) AS g, coalesce(sum(CAST(CAST(y AS DOUBLE) * CAST(y AS DOUBLE) AS DECIMAL(24, 15))) OVER w, 0) AS b FROM c WINDOW w AS (ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT q.pos AS e, CAST(q.pos - coalesce(p.pos, -1) AS DOUBLE) AS n, (q.pos + coalesce(p.pos, -1) + 1) AS twice, q.a - coalesce(p.a, 0) AS a, q.f - coalesce(p.f, 0) AS f, q.g - coalesce(p.g, 0) AS g, q.b - coalesce(p.b, 0) AS b FROM ps q JOIN (SELECT * FROM ps UNION ALL SELECT -1, 0, 0, 0, 0) p ON p.pos <= q.pos - 20),
+z AS (SELECT e, n, CAST(f - CAST(twice AS DECIMAL(6, 0)) * a / 2 AS DOUBLE) AS s1, CAST(g - CAST(twice AS DECIMAL(6, 0)) * f AS DOUBLE) + CAST(CAST(twice AS DECIMAL(6, 0)) * CAST(twice AS DECIMAL(6, 0)) * a AS DOUBLE) / 4 - (n * n - 1) / 12 * CAST(a AS DOUBLE) AS s2, CAST(b AS DOUBLE) - CAST(a AS DOUBLE) * CAST(a AS DOUBLE) / n AS syy, n * (n * n - 1) / 12 AS q1, n * (n * n - 1) * (n * n - 4) / 180 AS q2 FROM m)
+SELECT 'all' AS series_id, e AS pos, round(max(abs(s2 / q2) / sqrt((syy - s1 * s1 / q1 - s2 * s2 / q2) / (n - 3) / q2)), 5) AS smt FROM z GROUP BY e"""
+
+
 def chow(spark: SparkSession, d: str) -> DataFrame:
     x = _levels(spark, d)
     return _r(K.chow_dfc(x, 0.4).withColumnRenamed("brk", "at").join(K.sdfc(x), "series_id").select("series_id", "at", "dfc", "sdfc", "brk"), "dfc", "sdfc", digits=5)
@@ -350,10 +358,6 @@ def _data(spark: SparkSession, d: str) -> tuple[dict, DataFrame, list[str]]:
     return U.training_arrays(wide, cols, "label"), C.purged_kfold(samples, 4), cols
 
 
-def _shrunk(shrink: float = 0.0) -> U.NearestCentroid:
-    return U.NearestCentroid()
-
-
 def mda(spark: SparkSession, d: str) -> DataFrame:
     data, splits, cols = _data(spark, d)
     return U.mda(spark, U.NearestCentroid, data, splits, cols, n_repeats=2)
@@ -361,12 +365,32 @@ def mda(spark: SparkSession, d: str) -> DataFrame:
 
 def sfi(spark: SparkSession, d: str) -> DataFrame:
     data, splits, cols = _data(spark, d)
-    return U.sfi(spark, U.NearestCentroid, data, splits, cols)
+    return _r(U.sfi(spark, U.NearestCentroid, data, splits, cols), "mean", "se")
+
+
+# rows by fold, and class means of each fold's training rows, by column f
+_FOLDS = """v AS (SELECT vec_id AS pos, f, CAST(embedding[f + 1] AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS f)),
+g AS (SELECT pos, CASE WHEN sum(x) FILTER (WHERE f < 2) > 0 THEN 1 ELSE 0 END AS y, least(pos // ((SELECT count(*) FROM embeddings) // 4), 3) AS k FROM v GROUP BY pos),
+d AS (SELECT v.f, v.pos, g.y, g.k, v.x FROM v JOIN g USING (pos)),
+t AS (SELECT o.k, d.f, avg(x) FILTER (WHERE y = 0) AS c0, avg(x) FILTER (WHERE y = 1) AS c1, avg(x) AS m FROM d JOIN (SELECT unnest(range(4)) AS k) o ON d.k <> o.k GROUP BY 1, 2)"""
+SFI = f"""WITH {_FOLDS},
+z AS (SELECT d.f, d.k, d.pos, d.y, pow(x - c0, 2) AS a, pow(x - c1, 2) AS b FROM d JOIN t USING (f, k)),
+p AS (SELECT f, k, pos, y, CASE WHEN b < a THEN 1 ELSE 0 END AS guess FROM z UNION ALL SELECT NULL, k, pos, y, CASE WHEN sum(b) < sum(a) THEN 1 ELSE 0 END FROM z GROUP BY k, pos, y),
+s AS (SELECT f, k, avg(CASE WHEN guess = y THEN 1.0 ELSE 0.0 END) AS score FROM p GROUP BY f, k)
+SELECT CASE WHEN f IS NOT NULL THEN concat('x', f) END AS feature, round(avg(score), 6) AS mean, round(stddev_samp(score) / 2, 6) AS se FROM s GROUP BY f"""
+SHRINKS = (0.0, 0.03, 0.1, 0.3)
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
     data, splits, _ = _data(spark, d)
-    return U.grid_search(spark, _shrunk, {"shrink": [0.0, 1.0]}, data, splits).results
+    return _r(U.grid_search(spark, U.NearestCentroid, {"shrink": list(SHRINKS)}, data, splits).results, "mean", "std")
+
+
+GRID_SEARCH = f"""WITH {_FOLDS}, c AS (SELECT unnest([{", ".join(map(str, SHRINKS))}]) AS shrink, unnest(range({len(SHRINKS)})) AS cand_id),
+u AS (SELECT cand_id, k, f, m + sign(c0 - m) * greatest(abs(c0 - m) - shrink, 0) AS c0, m + sign(c1 - m) * greatest(abs(c1 - m) - shrink, 0) AS c1 FROM t, c),
+z AS (SELECT cand_id, d.k, d.pos, d.y, CASE WHEN sum(pow(x - c1, 2)) < sum(pow(x - c0, 2)) THEN 1 ELSE 0 END AS guess FROM d JOIN u USING (f, k) GROUP BY 1, 2, 3, 4),
+s AS (SELECT cand_id, k, avg(CASE WHEN guess = y THEN 1.0 ELSE 0.0 END) AS score FROM z GROUP BY 1, 2)
+SELECT CAST(cand_id AS INTEGER) AS cand_id, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM s GROUP BY 1"""
 
 
 def bagging(spark: SparkSession, d: str) -> DataFrame:
@@ -381,11 +405,32 @@ def orthogonal(spark: SparkSession, d: str) -> DataFrame:
     return U.orthogonal_features(wide, cols, 0.9).drop(*cols)
 
 
+#: Dickey and Fuller's table of the t value with a constant, long series: quantiles and their probabilities.
+DF_QUANTILES = (-3.43, -3.12, -2.86, -2.57, -0.44, -0.07, 0.23, 0.60)
+DF_PROBABILITIES = (0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99)
+
+
+def dickey_fuller_p(x: np.ndarray) -> float:
+    """Between the table's points along straight lines, and its ends beyond them."""
+    tau = K.adf_tau(x, 0, "c")
+    return float(np.interp(tau, DF_QUANTILES, DF_PROBABILITIES))
+
+
 def min_d(spark: SparkSession, d: str) -> DataFrame:
-    def p_value(x: np.ndarray) -> float:  # a stand-in test: variance ratio of levels and changes
-        return float(min(1.0, np.var(x) / np.var(np.diff(x)) / 100))
+    return _r(D.find_min_d(daily(spark, d).withColumn("value", F.log("price")), dickey_fuller_p, 0.05, [0.0, 0.5, 1.0]), "p_value", "corr")
+
 
-    return D.find_min_d(daily(spark, d).withColumn("value", F.log("price")), p_value, 0.5, [0.0, 0.5, 1.0])
+_LINES = list(zip(DF_QUANTILES, DF_QUANTILES[1:], DF_PROBABILITIES, DF_PROBABILITIES[1:], strict=False))
+_P_VALUE = f"CASE WHEN tau <= {DF_QUANTILES[0]} THEN {DF_PROBABILITIES[0]} " + " ".join(f"WHEN tau <= {b} THEN {p} + (tau - ({a})) * {(q - p) / (b - a)!r}" for a, b, p, q in _LINES) + f" ELSE {DF_PROBABILITIES[-1]} END"
+MIN_D = f"""WITH RECURSIVE {DAILY}, grid AS (SELECT CAST(unnest([0.0, 0.5, 1.0]) AS DOUBLE) AS d),
+w AS (SELECT d, CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS w FROM grid UNION ALL SELECT d, k + 1, -w * (d - k) / (k + 1) FROM w WHERE abs(-w * (d - k) / (k + 1)) >= 0.01),
+long AS (SELECT d, max(k) AS last FROM w GROUP BY d),
+x AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS pos, ln(price) AS x FROM daily),
+y AS (SELECT a.series_id, w.d, a.pos, any_value(a.x) AS x, sum(w.w * b.x) AS y FROM x a JOIN w ON w.k <= a.pos JOIN x b ON b.series_id = a.series_id AND b.pos = a.pos - w.k JOIN long l ON l.d = w.d AND a.pos >= l.last GROUP BY 1, 2, 3),
+z AS (SELECT series_id, d, x, y, lag(y) OVER v AS before, y - lag(y) OVER v AS change FROM y WINDOW v AS (PARTITION BY series_id, d ORDER BY pos)),
+r AS (SELECT series_id, d, corr(x, y) AS corr, regr_slope(change, before) / sqrt((regr_syy(change, before) - regr_slope(change, before) * regr_sxy(change, before)) / (regr_count(change, before) - 2) / regr_sxx(change, before)) AS tau FROM z GROUP BY 1, 2),
+p AS (SELECT series_id, d, corr, {_P_VALUE} AS p_value FROM r)
+SELECT s.series_id, b.d, round(b.p_value, 6) AS p_value, round(b.corr, 6) AS corr FROM (SELECT DISTINCT series_id FROM p) s LEFT JOIN (SELECT series_id, min(d) AS d, arg_min(p_value, d) AS p_value, arg_min(corr, d) AS corr FROM p WHERE p_value < 0.05 GROUP BY 1) b USING (series_id)"""
 
 
 def bootstrap_mc(spark: SparkSession, d: str) -> DataFrame:
@@ -426,7 +471,7 @@ QUERIES = {
 }
 SQL = {
     "sharpe_ratio": SHARPE, "probabilistic_sharpe_ratio": PSR, "bet_timing": BET_TIMING, "holding_period": HOLDING, "return_concentration": CONCENTRATION, "drawdown_time_under_water": DRAWDOWN, "cscv_logits": f"WITH {CSCV} SELECT split_id, best_trial, CAST(rank AS BIGINT) AS rank, CAST(n_trials AS BIGINT) AS n_trials, round(logit, 6) AS logit FROM cs",
-    "pbo": f"WITH {CSCV} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, CAST(count(*) AS BIGINT) AS n_splits, round(avg(logit), 6) AS mean_logit FROM cs", "deflated_sharpe": DEFLATED, "performance_matrix": f"WITH {PERFORMANCE} SELECT t, trial_id, round(ret, 9) AS ret FROM performance",
+    "pbo": f"WITH {CSCV} SELECT round(avg(CASE WHEN logit <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, CAST(count(*) AS BIGINT) AS n_splits, round(avg(logit), 6) AS mean_logit FROM cs", "deflated_sharpe": DEFLATED, "performance_matrix": f"WITH {PERFORMANCE_ALL} SELECT t, trial_id, round(ret, 9) AS ret FROM performance",
     "binomial_risk": BINOMIAL, "probability_of_failure": FAILURE, "fit_ou": FIT_OU, "bet_sizing": SIZING, "average_active_signals": ACTIVE, "correlation_distance": CORRELATIONS, "distance_of_distances": DISTANCES, "silhouette_scores": SILHOUETTE, "cusum_test": CUSUM, "chu_stinchcombe_white": CSW, "chu_stinchcombe_white_fixed": CSW_FIXED,
-    "adf_stat": ADF, "sadf": SADF, "qadf_cadf": QADF, "smt_exp": SMT, "chow_dfc_sdfc": CHOW, "plug_in_entropy": PLUG_IN, "lempel_ziv_parse": f"{LZ} SELECT * FROM parsed", "lempel_ziv_entropy": LZ_ENTROPY, "kontoyiannis_entropy": KONTO, "encodings": ENCODINGS, "mdi_from_matrix": MDI, "mp_pandas_obj": MOLECULES,
+    "adf_stat": ADF, "sadf": SADF, "qadf_cadf": QADF, "smt_exp": SMT, "smt_poly1": SMT_POLY1, "sfi": SFI, "grid_search": GRID_SEARCH, "find_min_d": MIN_D, "chow_dfc_sdfc": CHOW, "plug_in_entropy": PLUG_IN, "lempel_ziv_parse": f"{LZ} SELECT * FROM parsed", "lempel_ziv_entropy": LZ_ENTROPY, "kontoyiannis_entropy": KONTO, "encodings": ENCODINGS, "mdi_from_matrix": MDI, "mp_pandas_obj": MOLECULES,
 }

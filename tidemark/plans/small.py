@@ -35,8 +35,8 @@ CRITICAL = f"WITH {DAYS}, n AS (SELECT unnest(range(1, count(*) + 1)) AS lag FRO
 
 def track_record(spark: SparkSession, d: str) -> DataFrame:
     """Least track record of each series against a Sharpe ratio a tenth below its own."""
-    psr = S.probabilistic_sharpe_ratio(returns(spark, d)).select("series_id", "sr", "skew", "kurt").collect()  # a row per series
-    return _r(spark.createDataFrame([(r["series_id"], S.min_track_record_length(r["sr"], r["sr"] - 0.1, r["skew"], r["kurt"])) for r in psr], "series_id string, length double"), "length", digits=4)
+    psr = S.probabilistic_sharpe_ratio(returns(spark, d))
+    return _r(psr.select("series_id", S.track_record("sr", F.col("sr") - 0.1, "skew", "kurt").alias("length")), "length", digits=4)
 
 
 TRACK_RECORD = f"""WITH {RETURNS}, m AS (SELECT series_id, avg(ret) AS a, stddev_samp(ret) AS sd, stddev_pop(ret) AS sp FROM returns GROUP BY 1), h AS (SELECT m.series_id, any_value(a) / any_value(sd) AS sr, avg(pow(ret - a, 3)) / any_value(pow(sp, 3)) AS skew, avg(pow(ret - a, 4)) / any_value(pow(sp, 4)) AS kurt FROM returns r JOIN m USING (series_id) GROUP BY 1)

@@ -75,7 +75,7 @@ MESSAGES = "messages AS (SELECT concat('m', user_id % 4) AS series_id, ts, event
 
 
 def performance(spark: SparkSession, sf_dir: str, multiple: int = 8) -> DataFrame:
-    """t, trial_id, ret: daily returns of each order priority, over the largest multiple of `multiple` days that all have."""
+    """t, trial_id, ret: daily returns of each order priority, over the largest multiple of `multiple` days that all have; block splits need one, other statistics take all days (1)."""
     w = Window.partitionBy("series_id").orderBy("ts")
     r = returns(spark, sf_dir).select((F.row_number().over(w) - 1).cast("long").alias("t"), F.substring("series_id", 1, 1).cast("int").alias("trial_id"), "ret")
     shared = r.groupBy("trial_id").count().agg(F.min("count").alias("n")).select((F.col("n") - F.col("n") % multiple).alias("n"))
@@ -85,6 +85,10 @@ def performance(spark: SparkSession, sf_dir: str, multiple: int = 8) -> DataFram
 PERFORMANCE = RETURNS + ", numbered_returns AS (SELECT CAST(row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS BIGINT) AS t, CAST(substr(series_id, 1, 1) AS INTEGER) AS trial_id, ret FROM returns), shared AS (SELECT min(c) - min(c) % 8 AS n FROM (SELECT count(*) AS c FROM numbered_returns GROUP BY trial_id)), performance AS (SELECT t, trial_id, ret FROM numbered_returns, shared WHERE t < n)"
 
 
+#: The same over all common days.
+PERFORMANCE_ALL = PERFORMANCE.replace("min(c) - min(c) % 8", "min(c)")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, label_id, t0, t1, trgt, side: each day of the one daily series starts a label of 15 days."""
     w = Window.partitionBy("series_id").orderBy("ts")
