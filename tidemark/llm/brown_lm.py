@@ -259,6 +259,8 @@ def corpus_counts(sent: DataFrame, top_words: int) -> DataFrame:
 
 CLASSED = "chunk int, bucket int, payload binary, types array<long>"
 UNSEEN = 65535  # the class of a word without training counts
+#: Piles in which the chunks' class bigrams are added up; the driver gets so many tables of counts.
+PILES = 64
 SLICE = 20_000
 
 
@@ -377,15 +379,22 @@ def fit_brown(tokens: DataFrame, counts: DataFrame, buckets: int, top_words: int
         got = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
         ids = _kinds(keys, vocabulary.of(keys, shapes), label, top_n, buckets, got)[t]
         pairs = np.bincount(np.concatenate((label[:1], ids[:-1])) * k + ids if len(ids) else ids, minlength=k * k)
-        at = np.flatnonzero(pairs)
-        return pa.table({"pair": pa.array(at, pa.int64()), "n": pa.array(pairs[at], pa.int64())})
+        return packed(chunk % PILES, pairs)
 
-    # at most k * k rows
-    empty = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    def packed(pile: int, pairs: np.ndarray) -> pa.Table:
+        return pa.table({"pile": pa.array([pile], pa.int32()), "pairs": pa.array([zstandard.ZstdCompressor(level=1).compress(pairs.astype("<i8").tobytes())], pa.binary())})
+
+    def added(table: pa.Table) -> np.ndarray:
+        unpress, total = zstandard.ZstdDecompressor(), np.zeros(k * k, dtype=np.int64)
+        for p in table.column("pairs").to_pylist():
+            total += np.frombuffer(unpress.decompress(p), dtype="<i8")
+        return total
+
+    # one packed table of k * k counts per chunk, then per pile
+    pile = "pile int, pairs binary"
     replies = classed.filter("chunk >= 0").select("chunk", "bucket", "payload")
-    found = X.per_chunk_with(tokens.select("chunk", "n", "payload"), replies, class_bigrams, "pair long, n long", empty).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(k * k)
-    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    piles = X.per_chunk_with(tokens.select("chunk", "n", "payload"), replies, class_bigrams, pile, packed(0, np.zeros(0)).schema)
+    table = added(piles.groupBy("pile").applyInArrow(lambda t: packed(t.column("pile")[0].as_py(), added(t)), pile).toArrow()).astype(float)
     rare = classed.filter("chunk = -1").agg(*(F.sum(F.col("types")[c]) for c in range(k))).first()
     types = np.bincount(label, minlength=k) + np.array([x or 0 for x in rare])
     return BrownModel(items, label, table.reshape(k, k), types, int(n_tokens), int(n_types), share), classed
