@@ -11,8 +11,9 @@ counts with its heaviest entry; the document's total and its total per length
 go through a logistic curve fitted on the same training rows.
 
 The lexicon is learned from at most `max_labels` labelled rows, those with the
-least hash of their id, with equal texts counted once.  The lexicon has at most
-`max_entries` entries, so the model has a bound whatever the corpus.
+least hash of their id, with equal texts counted once.  The lexicon keeps every
+word and word start of these rows that `min_texts` toxic texts hold and whose
+weight is at least `least`; as the rows are bounded, so is the model.
 
 Cases: null and empty texts have no match and get the curve's value at zero;
 labels that are null are not used; without a toxic label, or with toxic labels
@@ -164,11 +165,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labels: int = MAX_LABELS, max_entries: int = 5_000, min_share: float = 0.01, least: float = 1.5) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, max_labels: int = MAX_LABELS, min_texts: int = 4, least: float = 1.5) -> ToxicityModel:
     """Learn lexicon, exceptions and curve from labelled texts.
 
-    min_share: the share of toxic texts that must hold an entry (three texts at
-    least); least: the least lower bound of an entry's log odds.
+    min_texts: how many toxic texts must hold an entry; least: the least lower
+    bound of an entry's log odds.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("label IS NOT NULL AND text IS NOT NULL")
@@ -177,12 +178,12 @@ def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.orderBy("k", "h", "label").limit(max_labels).select("text", "label").repartition(min(64, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = rows.persist()
     try:
-        return _fit(rows, max_entries, min_share, least)
+        return _fit(rows, min_texts, least)
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, max_entries: int, min_share: float, least: float) -> ToxicityModel:
+def _fit(rows: DataFrame, min_texts: int, least: float) -> ToxicityModel:
     n = {r["label"]: r["count"] for r in rows.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -200,8 +201,8 @@ def _fit(rows: DataFrame, max_entries: int, min_share: float, least: float) -> T
     odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     found = (
         rows.mapInArrow(candidates, "item string, a long, b long").groupBy("item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .filter(F.col("a") >= max(3, math.ceil(min_share * toxic))).withColumn("w", odds).filter(F.col("w") >= least)
-        .orderBy(F.col("w").desc(), "item").limit(max_entries).collect()
+        .filter(F.col("a") >= min_texts).withColumn("w", odds).filter(F.col("w") >= least)
+        .orderBy(F.col("w").desc(), "item").collect()
     )
     entries = {r["item"]: float(r["w"]) for r in found}
     # a word start that nearly always goes on in one way gives way to the longer entry
@@ -235,7 +236,7 @@ def _fit(rows: DataFrame, max_entries: int, min_share: float, least: float) -> T
         yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array([count[1][i] for i in items], pa.int64()), pa.array([count[0][i] for i in items], pa.int64())], ["item", "a", "b"])
 
     seen = rows.mapInArrow(phrases, "item string, a long, b long").groupBy("item").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("b >= 2 AND a = 0")
-    model.exceptions = [r["item"] for r in seen.orderBy(F.col("b").desc(), "item").limit(max_entries).collect()]
+    model.exceptions = [r["item"] for r in seen.orderBy(F.col("b").desc(), "item").collect()]
 
     def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.matcher()
