@@ -645,3 +645,23 @@ def test_pipeline(spark):
         before = after
     packed = pipeline.run(spark, DATA)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").collect()}
+
+
+def test_exceptions_take_out_the_matches_inside_them():
+    import random
+
+    from tidemark.llm.toxicity_lexicon import ToxicityModel
+
+    r = random.Random(6)
+    model = ToxicityModel(entries={" ab ": 2.0, " abc": 3.0, " b ": 1.0}, exceptions=[" ab b ", " c ab ", " abcd "])
+    matcher = model.matcher()
+    for _ in range(500):
+        words = [r.choice(["ab", "abc", "abcd", "b", "c"]) for _ in range(r.randrange(12))]
+        text = " " + " ".join(words) + " "
+        spans = [(k, k + len(e) - 1) for e in model.exceptions for k in range(len(text)) if text.startswith(e, k)]
+        want = {}
+        for e, w in model.entries.items():
+            for k in range(len(text)):
+                if text.startswith(e, k) and not any(lo <= k < hi for lo, hi in spans):
+                    want[k] = max(w, want.get(k, 0.0))
+        assert matcher.hits(words) == want

@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -128,9 +129,10 @@ class Matcher:
                 excepted.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
+        starts = sorted(best) if excepted else []
         for lo, hi in excepted:
-            for s in [s for s in best if lo <= s < hi]:
-                del best[s]
+            for s in starts[bisect_left(starts, lo) : bisect_left(starts, hi)]:
+                best.pop(s, None)
         return best
 
     def features(self, text: str) -> tuple[float, float]:
