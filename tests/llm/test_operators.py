@@ -647,6 +647,17 @@ def test_pipeline(spark):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").collect()}
 
 
+def test_plain_words_fold_like_any_other():
+    import random
+
+    from tidemark.llm.toxicity_lexicon import _fold_any, fold_word
+
+    r = random.Random(5)
+    for _ in range(20_000):
+        word = "".join(r.choice("aabCz019!.,;:?\"')]}([{@$-_*|+é»") for _ in range(r.randrange(9)))
+        assert fold_word(word) == _fold_any(word), word
+
+
 def test_exceptions_take_out_the_matches_inside_them():
     import random
 

@@ -51,6 +51,7 @@ _DIGITS = str.maketrans(SUBSTITUTES)
 _SPELLED = re.compile(r"(?:\w[.\-_*·]){2,}\w")
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 _RUN = re.compile(r"(.)\1{2,}")
+_AFTER, _BEFORE = "!.,;:?\"')]}»”", "\"'([{«“¿¡"
 PREFIXES = (4, 5, 6, 7)
 #: At most so many labelled rows are learned from.
 MAX_LABELS = 20_000
@@ -58,10 +59,19 @@ MAX_LABELS = 20_000
 
 def fold_word(word: str) -> str:
     """A word as the lexicon has it; empty if nothing of it is left."""
+    if word.isascii():
+        # plain words, which are most, need nothing of the rest
+        core = word.lower().rstrip(_AFTER).lstrip(_BEFORE)
+        if core.isalpha():
+            return _RUN.sub(r"\1", core)
+    return _fold_any(word)
+
+
+def _fold_any(word: str) -> str:
     s = unicodedata.normalize("NFKD", word.casefold())
     s = "".join(c for c in s if not unicodedata.combining(c) and unicodedata.category(c) != "Cf").translate(_LETTERS)
     if any(c.isalpha() for c in s):
-        core = s.rstrip("!.,;:?\"')]}»”").lstrip("\"'([{«“¿¡")
+        core = s.rstrip(_AFTER).lstrip(_BEFORE)
         if _SPELLED.fullmatch(core):
             core = re.sub(r"[.\-_*·]", "", core)
         s = core.translate(_DIGITS)
