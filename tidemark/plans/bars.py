@@ -109,6 +109,14 @@ def volume_run_bars(spark: SparkSession, d: str) -> DataFrame:
     return _bars(B.run_bars(ticks(spark, d), "volume"))
 
 
+def dollar_imbalance_bars(spark: SparkSession, d: str) -> DataFrame:
+    return _bars(B.imbalance_bars(ticks(spark, d), "dollar"))
+
+
+def dollar_run_bars(spark: SparkSession, d: str) -> DataFrame:
+    return _bars(B.run_bars(ticks(spark, d), "dollar"))
+
+
 def cusum_filter(spark: SparkSession, d: str) -> DataFrame:
     return B.cusum_filter(ticks(spark, d), 300.0).select("series_id", "ts", "seq", "side")
 
@@ -213,11 +221,11 @@ SELECT series_id, bucket, round(buy, 5) AS buy, round(sell, 5) AS sell, CASE WHE
 
 QUERIES = {
     "time_bars": time_bars, "tick_bars": tick_bars, "volume_bars": volume_bars, "dollar_bars": dollar_bars, "tick_imbalance_bars": tick_imbalance_bars, "volume_imbalance_bars": volume_imbalance_bars,
-    "tick_run_bars": tick_run_bars, "volume_run_bars": volume_run_bars, "cusum_filter": cusum_filter, "repeated_naive_times": repeated_times, "tick_rule": tick_rule, "roll_measure": roll_measure,
+    "tick_run_bars": tick_run_bars, "volume_run_bars": volume_run_bars, "dollar_imbalance_bars": dollar_imbalance_bars, "dollar_run_bars": dollar_run_bars, "cusum_filter": cusum_filter, "repeated_naive_times": repeated_times, "tick_rule": tick_rule, "roll_measure": roll_measure,
     "corwin_schultz_becker_parkinson": high_low, "kyle_lambda": kyle_lambda, "amihud_illiquidity": amihud, "hasbrouck_lambda": hasbrouck, "bulk_volume_classification": bulk_volume, "vpin": vpin,
 }
 SQL = {
     "time_bars": TIME_BARS, "tick_bars": TICK_BARS, "volume_bars": fold_sql("volume", "2000"), "dollar_bars": fold_sql("price * volume", "100000"), "tick_imbalance_bars": imbalance_sql("1"), "volume_imbalance_bars": imbalance_sql("volume"),
-    "tick_run_bars": runs_sql("1"), "volume_run_bars": runs_sql("volume"), "cusum_filter": CUSUM, "repeated_naive_times": REPEATED, "tick_rule": TICK_RULE, "roll_measure": ROLL,
+    "tick_run_bars": runs_sql("1"), "volume_run_bars": runs_sql("volume"), "dollar_imbalance_bars": imbalance_sql("(price * volume)"), "dollar_run_bars": runs_sql("(price * volume)"), "cusum_filter": CUSUM, "repeated_naive_times": REPEATED, "tick_rule": TICK_RULE, "roll_measure": ROLL,
     "corwin_schultz_becker_parkinson": HIGH_LOW, "kyle_lambda": KYLE, "amihud_illiquidity": AMIHUD, "hasbrouck_lambda": HASBROUCK, "bulk_volume_classification": BULK, "vpin": VPIN,
 }
